@@ -8,19 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts
+from . import bpe_codec, chat_format, common, language_id, token_counts, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "token-ids")
+    token_output.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.digests(token_output.read(spark, path))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out()
+    dictionaries = language_id.learn(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_codec.digests(docs, vocabulary, bpe_codec.build_lexicon(docs, vocabulary))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.with_token_counts(docs, model).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_output": op2_token_output,
+    "op4_language_id": op4_language_id,
+    "op5_bpe_codec": op5_bpe_codec,
     "op8_token_counts": op8_token_counts,
+    "op10_chat_format": op10_chat_format,
 }

@@ -2,4 +2,39 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+OP10 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said,
+         coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS part
+  FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+pieces AS (
+  SELECT t.*, s.perspective, t.role = s.perspective AS own,
+         CASE WHEN t.role = s.perspective THEN '<|im_start|>assistant' || chr(10)
+              WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10)
+              ELSE '<|im_start|>user name=' || regexp_replace(t.role, '<\|(im_start|im_end)\|>', '< |\1| >', 'g') || chr(10)
+         END AS head,
+         regexp_replace(t.said, '<\|(im_start|im_end)\|>', '< |\1| >', 'g') || '<|im_end|>' AS body
+  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+           PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, said
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM pieces),
+parts AS (
+  SELECT conv_id, perspective, part, count(*) AS n_turns, sum(length(head) + length(body) + 1) AS size,
+         sum(CASE WHEN own THEN length(body) ELSE 0 END) AS n_masked,
+         coalesce(string_agg(CASE WHEN own THEN CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(head) + length(body) AS BIGINT) END,
+                    ',' ORDER BY turn NULLS FIRST, role, said), '') AS masks,
+         string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, said) AS text
+  FROM placed GROUP BY ALL)
+SELECT conv_id, perspective, part,
+       CAST(coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY part
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS part_start,
+       CAST(n_turns AS BIGINT) AS n_turns, CAST(n_masked AS BIGINT) AS n_masked, masks, text
+FROM parts
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_chat_format": OP10,
+}
