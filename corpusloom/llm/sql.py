@@ -35,6 +35,52 @@ SELECT conv_id, perspective, part,
 FROM parts
 """
 
+SHINGLES = r"""
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+"""
+
+OP1 = f"""
+WITH RECURSIVE {SHINGLES}
+each AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
+  FROM each x JOIN each y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT doc_id, n AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
+FROM sizes JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+OP3 = f"""
+WITH {SHINGLES}
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x20\\x09-\\x0D]+') AS w
+  FROM benchmark),
+item_sets AS (
+  SELECT item_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM items),
+doc_each AS (SELECT doc_id, unnest(s) AS g FROM sets),
+item_each AS (SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM item_sets)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item
+FROM item_each JOIN doc_each USING (g) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": OP3,
+    "op1_near_dedup": OP1,
     "op10_chat_format": OP10,
 }
