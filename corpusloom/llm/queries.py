@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, common, decontaminate, language_id, near_dedup, pii, token_counts, token_output
+from . import bpe_codec, chat_format, common, decontaminate, language_id, near_dedup, pii, substring_dedup, token_counts, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs, model).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(table(spark, sf_dir, "conversations"))
 
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_codec": op5_bpe_codec,
     "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
