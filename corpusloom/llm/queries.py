@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, common, decontaminate, language_id, near_dedup, pii, substring_dedup, token_counts, token_output
+from . import bpe_codec, chat_format, common, decontaminate, language_id, near_dedup, pii, substring_dedup, token_counts, token_output, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(docs, vocabulary, bpe_codec.build_lexicon(docs, vocabulary))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = common.settled(topk_search.index(docs), "shards")
+    return topk_search.search(shards, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.train(docs))
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_topk_search": op6_topk_search,
     "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,

@@ -79,7 +79,23 @@ SELECT doc_id, item_id, count(*) AS n_shared, n_item
 FROM item_each JOIN doc_each USING (g) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
 """
 
+OP6 = f"""
+WITH {SHINGLES}
+each AS (SELECT doc_id, unnest(w) AS g FROM words),
+bags AS (SELECT doc_id, g, count(*) AS tf FROM each GROUP BY ALL),
+lengths AS (SELECT doc_id, len(w) AS dl, avg(len(w)) OVER () AS mean, count(*) OVER () AS n FROM words),
+df AS (SELECT g, count(*) AS df FROM bags GROUP BY g),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM bags q JOIN df USING (g) JOIN bags d USING (g) JOIN lengths l ON l.doc_id = d.doc_id
+  WHERE q.doc_id % 50 = 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_topk_search": OP6,
     "op3_decontaminate": OP3,
     "op1_near_dedup": OP1,
     "op10_chat_format": OP10,
