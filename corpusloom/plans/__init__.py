@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from . import analytics_queries, search_queries, text_queries
+def modules() -> list:
+    from . import analytics_queries, ingest_queries, search_queries, text_queries
 
-    return text_queries.QUERIES | search_queries.QUERIES | analytics_queries.QUERIES
+    return [text_queries, search_queries, analytics_queries, ingest_queries]
 
 
-def oracle_sql() -> dict[str, str]:
-    from . import analytics_queries, search_queries, text_queries
+def queries() -> dict:
+    return {k: v for m in modules() for k, v in m.QUERIES.items()}
 
-    return text_queries.SQL | search_queries.SQL | analytics_queries.SQL
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in modules() for k, v in m.SQL.items()}
