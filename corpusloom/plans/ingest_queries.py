@@ -15,7 +15,7 @@ from . import domain as D
 from . import sqltext as S
 
 # without a final slash of the path, unless that is all of it
-SHORTER = "regexp_replace({}, '(://[^/?]*/[^?]*[^/?])/(\\?|$)', '\\1\\2')"
+SHORTER = "regexp_replace(regexp_replace({}, '#.*$', ''), '(://[^/?]*/[^?]*[^/?])/(\\?|$)', '\\1\\2')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
