@@ -18,8 +18,9 @@ So no group's pairs are listed, and no link between different components is left
 test drops pairs whose share of equal minhashes lies more than three standard deviations below the
 similarity asked for.
 
-Defined results: a document without words links with nothing; rows of one doc_id are one vertex; a null
-doc_id has its class's component; repeated rows give repeated results. Only doc_id and text are read.
+Defined results: a document without words links with nothing; rows of one doc_id are one vertex; documents
+with a null doc_id come after all others and are told apart by their texts, and a component of such documents
+only has a null component_id; repeated rows give repeated results. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged, shingles
-from .common import settled
+from .common import NAMELESS, document_key, settled
 from .components import components
 
 BANDS, ROWS = 24, 4
 HASHES = 2 * BANDS * ROWS
 PIVOTS = 2
-BLOCK = 512
+BLOCK = 4096
 NEAR = 75
 
 
@@ -100,12 +101,13 @@ def shared(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """bucket, doc: the members of all table buckets that hold several classes."""
+    """bucket, number (of the table), doc: the members of all table buckets that hold several classes."""
     cols = [F.slice("sketch", 1, BANDS).alias("first"), F.slice("sketch", BANDS + 1, BANDS).alias("second")]
     firsts = classes.select("doc", F.posexplode(F.slice("sketch", 1, BANDS)).alias("i", "u"))
     met = shared(firsts, "i", "u")
     keyed = met.join(classes.select("doc", *cols[1:]), "doc").select("doc", "i", "u", F.posexplode("second").alias("j", "v"))
-    return shared(keyed.select("doc", F.xxhash64("i", "u", "j", "v").alias("bucket")), "bucket")
+    number = (F.col("i") * BANDS + F.col("j")).cast("int")
+    return shared(keyed.select("doc", number.alias("number"), F.xxhash64("i", "u", "j", "v").alias("bucket")), "bucket")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
@@ -139,36 +141,72 @@ def with_pivots(members: DataFrame) -> DataFrame:
 def across(members: DataFrame, near: int) -> DataFrame:
     """a, b: pairs of one bucket in different components with sketches alike enough.
 
-    members: bucket, doc, component, sketch. A bucket's members are dealt to blocks of about BLOCK by a
-    hash; a task compares one block with itself or with another one, so it holds two blocks at most."""
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    members: bucket, number, doc, component, sketch. A bucket's members are dealt to blocks of about BLOCK by a
+    hash; a comparison takes one block with itself or with another one, so it holds two blocks at most. A pair
+    that meets in several tables is reported in the first of them only."""
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(size.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     items = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc", "component", "sketch"
+        "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc", "component", "number", "sketch"
     )
     share = near / 100
     enough = HASHES * share - 3 * np.sqrt(HASHES * share * (1 - share))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        doc, component = rows["doc"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
-        values = np.stack([np.asarray(x, np.int64) for x in rows["sketch"]]).view(np.uint16)
-        own, same = rows["own"].to_numpy(), rows["p"].iloc[0] == rows["q"].iloc[0]
-        left = np.arange(len(doc)) if same else np.flatnonzero(own == rows["p"].iloc[0])
-        right = left if same else np.flatnonzero(own == rows["q"].iloc[0])
+    def compare(rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Pairs of one comparison: rows are p, q, own, doc, component, number and the sketches."""
+        p, q, own, doc, component, number, sketch_ = rows
+        values, same = sketch_.view(np.uint16), p[0] == q[0]
+        left = np.arange(len(doc)) if same else np.flatnonzero(own == p[0])
+        right = left if same else np.flatnonzero(own == q[0])
         found = []
         for i in left.tolist():
-            others = right[(component[right] != component[i]) & ((doc[right] > doc[i]) if same else True)]
-            hits = others[(values[others] == values[i]).sum(axis=1) >= enough]
-            found.append(np.stack([np.maximum(doc[hits], doc[i]), np.minimum(doc[hits], doc[i])], 1))
-        return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *found]), columns=["a", "b"])
+            others = right[right > i] if same else right
+            others = others[component[others] != component[i]]
+            hits = others[(values[others] == values[i]).sum(axis=1) >= enough] if len(others) else others
+            equal = sketch_[hits] == sketch_[i]
+            first = equal[:, :BANDS].argmax(axis=1) * BANDS + equal[:, BANDS:].argmax(axis=1) if len(hits) else hits
+            hits = hits[first == number[0]]
+            if len(hits):
+                found.append(np.stack([np.maximum(doc[hits], doc[i]), np.minimum(doc[hits], doc[i])], 1))
+        return found
 
-    return items.groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Comparisons come one after the other; the last of a batch may go on in the next one."""
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            flat = [batch.column(k).to_numpy() for k in range(7)]
+            flat.append(batch.column(7).values.slice(batch.column(7).offsets[0].as_py(), len(batch) * 2 * BANDS).to_numpy().reshape(-1, 2 * BANDS))
+            if rest is not None:
+                flat = [np.concatenate(x) for x in zip(rest, flat)]
+            bucket, p, q = flat[:3]
+            cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            edges = [0, *cut.tolist()]
+            found = [x for a, b in zip(edges, edges[1:]) if b - a > 1 for x in compare([c[a:b] for c in flat[1:]])]
+            rest = [c[edges[-1] :] for c in flat]
+            if found:
+                yield pairs(found)
+        if rest is not None and len(rest[0]) > 1 and (found := compare(rest[1:])):
+            yield pairs(found)
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    ordered = items.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "own", "doc", "component", "number", "sketch")
+    return ordered.mapInArrow(each, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of `near` percent
     similarity or more) and kept (doc_id = component_id) for each row of docs (doc_id, text)."""
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return grouped(docs, near).select(named("key").alias("doc_id"), "n_shingles", named("component").alias("component_id"), "kept")
+
+
+def grouped(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """near_duplicates() with document keys: key, n_shingles, component and kept."""
+    docs = docs.select(document_key().alias("doc_id"), "text")
     rows = settled(sketches(docs), "sketches")
     with_words = rows.where("class IS NOT NULL")
     classes = with_words.groupBy("class").agg(F.min("doc_id").alias("doc"))
@@ -181,11 +219,12 @@ def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     links = settled(confirmed(with_pivots(members), sets, near), "links")
     found = components(links)
     label = F.coalesce(F.col("component"), F.col("doc"))
-    labelled = members.join(found, F.col("doc") == F.col("node"), "left").select("bucket", "doc", label.alias("component"))
+    labelled = members.join(found, F.col("doc") == F.col("node"), "left").select("bucket", "number", "doc", label.alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     open_members = settled(labelled.join(mixed, "bucket").join(sketched, "doc"), "open")
     more = settled(confirmed(across(open_members, near), sets, near), "links")
     final = components(links.union(more))
     reach = classes.join(final, F.col("doc") == F.col("node"), "left").select("class", F.coalesce("component", "doc").alias("reached"))
     component = F.coalesce(F.col("reached"), F.col("doc_id"))
-    return rows.join(reach, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    found = rows.join(reach, "class", "left").select(F.col("doc_id").alias("key"), "n_shingles", component.alias("component"))
+    return found.withColumn("kept", F.col("key") == F.col("component"))
