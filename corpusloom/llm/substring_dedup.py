@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import induced_sort, ragged
-from .common import settled
+from .common import done_with, settled
 from .shingles import FACTOR, mixed
 
 LENGTH, GRAM = 200, 32
 CHUNK = 1 << 22
-SHARD = 1 << 24
+SHARD = 1 << 21
 
 
 def byte_values() -> np.ndarray:
@@ -144,7 +144,7 @@ def repeats_in(bodies: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.
     """For different pieces with numbers of starts: piece, first and last start of each run of repeats."""
     size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
     total = int(size.sum()) + 1
-    spool = tempfile.TemporaryFile() if total > 4 * SHARD else None
+    spool = tempfile.TemporaryFile() if total > 16 * SHARD else None
     text = np.memmap(spool, np.uint16, "w+", shape=(total,)) if spool else np.empty(total, np.uint16)
     end = np.cumsum(size)
     begin = end - size
@@ -207,6 +207,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     pieces = settled(piece_table(docs), "pieces")
     often = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
     shared = settled(pieces.join(often, "anchor"), "shared-pieces")
+    done_with(pieces)
     kinds = settled(shared.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "doc_id", "place", "n")).alias("one")), "piece-kinds")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).where("different > 1").select("anchor")
     differ = kinds.join(several, "anchor").select("one.*", "anchor", "body")
