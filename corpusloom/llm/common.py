@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "file:///tmp/checkpoints"
@@ -29,12 +30,20 @@ def settled(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a table made by this library from the shared folder."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def done_with(*tables: DataFrame) -> None:
+    """Removes tables that settled() wrote and nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder that settled() wrote df to."""
-    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+#: Keys of documents without an id start here.
+NAMELESS = 1 << 62
+
+
+def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The id, or for a null one a number made from the text, above all ids in use."""
+    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) + F.lit(NAMELESS)
+    return F.coalesce(F.col(doc_id).cast("long"), by_text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import done_with, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def components(links: DataFrame) -> DataFrame:
             .select("node", F.least("component", "near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("moved"))
         )
         step = settled(step, "labels")
-        if step.where("moved").isEmpty():
-            return step.select("node", "component")
+        done_with(labels)
         labels = step.select("node", "component")
+        if step.where("moved").isEmpty():
+            done_with(edges)
+            return labels
