@@ -48,8 +48,7 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document and the text that they decode to."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe_codec.encode(docs, vocabulary, bpe_codec.build_lexicon(docs, vocabulary))
-    out = bpe_codec.decode(encoded, vocabulary)
+    out = bpe_codec.encode(docs, vocabulary, bpe_codec.build_lexicon(docs, vocabulary), decoded=True)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

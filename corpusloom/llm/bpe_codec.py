@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ragged
 from .merging import PairMerger
@@ -149,7 +150,7 @@ class Codec:
         self.plain = np.array([vocab[s] for s in signs], np.int64)
         self.ending = np.array([vocab[s + end] for s in signs], np.int64)
         self.lexicon = lexicon
-        self.memory = ragged.Memory(self.merge)
+        self.memory = ragged.Memory(self.merge, 300_000)
         spaced = [n + " " for n in self.names]
         self.spaced = pa.array(spaced, pa.large_string())
         self.numbers = pa.array([f"{i} " for i in range(len(self.names))], pa.large_string())
@@ -277,7 +278,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text", share:
 
     Words are counted in blocks of a task's rows, and a block passes on those with at least that share
     of its own words; a word with that share overall has it in some block, so none is missed. A block
-    ends when it holds two million distinct words. `most` bounds the lexicon, by count, then by word."""
+    ends when it holds half a million distinct words. `most` bounds the lexicon, by count, then by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, totals, n = plain_codec(vocabulary), {}, 0
@@ -294,7 +295,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text", share:
                 counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).tolist()
                 for w, c in zip(words.dictionary.to_pylist(), counts):
                     totals[w] = totals.get(w, 0) + c
-                if len(totals) > 2_000_000:
+                if len(totals) > 500_000:
                     yield block()
                     totals.clear()
                     n = 0
@@ -321,21 +322,27 @@ def shipped(docs: DataFrame, lexicon: Lexicon) -> tuple[str, Content]:
     return hashlib.sha256(data).hexdigest(), Content(docs.sparkSession.sparkContext.broadcast(data))
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """docs with the column `ids`: the ids of the whole text."""
+def encode(docs: DataFrame, vocabulary: str, lexicon: Lexicon, text: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with the column `ids`, the ids of the whole text, and with `decoded` on request what these
+    decode to; columns of these names are replaced. A slice of a batch at a time is held and passed on."""
     name, content = shipped(docs, lexicon)
+    kept = docs.drop("ids", "decoded")
+    place = kept.columns.index(text)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(column):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
-        tool, out = codec(vocabulary, name, content), []
-        for part in ragged.slices(ragged.strings(pa.array(column, pa.large_string(), from_pandas=True))):
-            ids, sizes = tool.encode(part)
-            out.extend(np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1]))
-        return pd.Series(out, dtype=object)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(vocabulary, name, content)
+        for batch in batches:
+            at = 0
+            for part in ragged.slices(ragged.strings(batch.column(place)), 1 << 20):
+                ids, sizes = tool.encode(part)
+                columns = [c.slice(at, len(part)) for c in batch.columns] + [ragged.list_array(ids.astype(np.int32), sizes, pa.int32())]
+                if decoded:
+                    columns.append(pa.array(tool.decode(ids, sizes), pa.string()))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.withColumn("ids", ids_of(F.coalesce(F.col(text), F.lit(""))))
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
+    return kept.mapInArrow(each, schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

@@ -116,8 +116,8 @@ def test_codec(docs, empty):
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             want[(i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))] += 1
         assert got == want
-    both = bpe_codec.decode(bpe_codec.encode(docs, vocabulary, lexicon), vocabulary).collect()
-    assert all(r.decoded == lib.decode(lib.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in both)
+    both = bpe_codec.decode(bpe_codec.encode(docs, vocabulary, lexicon, decoded=True).withColumnRenamed("decoded", "beside"), vocabulary).collect()
+    assert len(both) == len(TEXTS) and all(r.beside == r.decoded == lib.decode(lib.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in both)
     assert bpe_codec.digests(empty, vocabulary, bpe_codec.build_lexicon(empty, vocabulary)).count() == 0
 
 
