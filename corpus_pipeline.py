@@ -17,6 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets lang to the predicted language; documents that the classifier rejects go."""
+    common.bounded_batches(spark)
     found = language_id.identify(docs, language_id.learn(docs))
     return found.where("NOT rejected").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -24,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id; of repeated
     rows the first by text, language and source."""
+    common.bounded_batches(spark)
     keyed = docs.withColumn("key", common.document_key())
     kept = near_dedup.grouped(docs).where("kept").select("key").distinct()
     first = Window.partitionBy("key").orderBy("text", "lang", "source", "n_chars")
@@ -32,6 +34,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    common.bounded_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = docs.withColumn("key", common.document_key())
     # a few of all documents: the anti-join drops them by key
@@ -41,12 +44,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes the name of its kind; n_chars follows."""
+    common.bounded_batches(spark)
     clean = pii.redacted(docs, pii.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document and the text that they decode to."""
+    common.bounded_batches(spark)
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     out = bpe_codec.encode(docs, vocabulary, bpe_codec.build_lexicon(docs, vocabulary), decoded=True)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

@@ -1,4 +1,4 @@
-"""What the corpus operators share: the folder for intermediate tables and a broadcast check."""
+"""What the corpus operators share: the folder for intermediate tables, keys, and the size of batches."""
 
 from __future__ import annotations
 
@@ -39,6 +39,20 @@ def done_with(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. A batch takes its size several times over, in the
+#: executor and in the worker; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches to BATCH_BYTES; a lower one, given in plain bytes, stays.
+    Rows are unaffected."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: Keys of documents without an id start here.
 NAMELESS = 1 << 62
 

@@ -12,6 +12,7 @@ from . import bpe_codec, chat_format, common, decontaminate, language_id, near_d
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
