@@ -36,6 +36,9 @@ from pyspark.sql import types as T
 from . import ragged
 from .merging import PairMerger
 
+#: Bytes of text that are held as arrays at once.
+SLICE = 1 << 19
+
 
 class Lexicon:
     """A minimal acyclic automaton over byte words in ascending order; each word has a run of ids."""
@@ -150,7 +153,7 @@ class Codec:
         self.plain = np.array([vocab[s] for s in signs], np.int64)
         self.ending = np.array([vocab[s + end] for s in signs], np.int64)
         self.lexicon = lexicon
-        self.memory = ragged.Memory(self.merge, 300_000)
+        self.memory = ragged.Memory(self.merge, 100_000)
         spaced = [n + " " for n in self.names]
         self.spaced = pa.array(spaced, pa.large_string())
         self.numbers = pa.array([f"{i} " for i in range(len(self.names))], pa.large_string())
@@ -289,7 +292,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text", share:
             return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
         for batch in batches:
-            for part in ragged.slices(ragged.strings(batch.column(0))):
+            for part in ragged.slices(ragged.strings(batch.column(0)), SLICE):
                 words, _ = tool.words(part)
                 n += len(words)
                 counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).tolist()
@@ -333,7 +336,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: Lexicon, text: str = "text
         tool = codec(vocabulary, name, content)
         for batch in batches:
             at = 0
-            for part in ragged.slices(ragged.strings(batch.column(place)), 1 << 20):
+            for part in ragged.slices(ragged.strings(batch.column(place)), SLICE):
                 ids, sizes = tool.encode(part)
                 columns = [c.slice(at, len(part)) for c in batch.columns] + [ragged.list_array(ids.astype(np.int32), sizes, pa.int32())]
                 if decoded:
@@ -369,7 +372,7 @@ def digests(docs: DataFrame, vocabulary: str, lexicon: Lexicon, key: str = "doc_
         tool = codec(vocabulary, name, content)
         for batch in batches:
             at = 0
-            for part in ragged.slices(ragged.strings(batch.column(1))):
+            for part in ragged.slices(ragged.strings(batch.column(1)), SLICE):
                 ids, sizes = tool.encode(part)
                 hexes = [[hashlib.sha256(x).hexdigest() for x in tool.joined(t, ids, sizes)] for t in (tool.numbers, tool.spaced)]
                 columns = [batch.column(0).slice(at, len(part)), pa.array(sizes, pa.int64()), *(pa.array(h, pa.string()) for h in hexes)]
