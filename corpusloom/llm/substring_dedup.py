@@ -84,6 +84,18 @@ class Anchors:
         return first, last - first + 1, hashes[anchor[first]]
 
 
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """The column in slices of at most CHUNK bytes, or one text if it is longer."""
+    for part in ragged.slices(column, CHUNK // 2):
+        # the last text of a slice begins within CHUNK // 2 bytes, but may end anywhere
+        n = len(part)
+        if n > 1 and len(part[n - 1].as_buffer()) > CHUNK // 2:
+            yield part.slice(0, n - 1)
+            yield part.slice(n - 1)
+        else:
+            yield part
+
+
 def piece_table(docs: DataFrame) -> DataFrame:
     """key (of the text), doc_id, place, n, anchor and body (hashes) of all pieces of docs (key, doc_id, text)."""
     names = ["key", "doc_id", "place", "n", "anchor", "body"]
@@ -101,7 +113,7 @@ def piece_table(docs: DataFrame) -> DataFrame:
         tool = Anchors()
         for batch in batches:
             at = 0
-            for part in ragged.slices(ragged.strings(batch.column(2)), CHUNK // 2):
+            for part in slices(ragged.strings(batch.column(2))):
                 texts = part.cast(pa.large_binary()).to_pylist()
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
                 if len(part) == 1 and size[0] > CHUNK:

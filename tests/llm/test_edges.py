@@ -186,6 +186,16 @@ def test_substrings(docs, empty):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_short_text_before_very_long_ones(spark):
+    """Texts longer than CHUNK that come after shorter ones in an Arrow batch; two of them share a passage."""
+    draw = np.random.default_rng(7)
+    noise = lambda n: draw.integers(97, 123, n, np.uint8).tobytes().decode()
+    shared = noise(1000)
+    rows = [(1, noise(1000)), (2, noise(5_000_000) + "A" + shared + "B"), (3, noise(1000)), (4, "C" + shared + "D" + noise(4_300_000)), (5, noise(3000)), (6, noise(4_000_000))]
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert sorted(map(tuple, got)) == [(i, len(t), *((1000, 1) if i in (2, 4) else (0, 0))) for i, t in rows]
+
+
 def test_search(spark, docs, empty):
     shards = common.settled(topk_search.index(docs), "shards")
     queries = spark.createDataFrame([(1, "one"), (2, ""), (3, None), (4, "absent"), (5, "word1 thing2 word1")], "query_id long, text string")
