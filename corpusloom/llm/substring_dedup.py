@@ -10,8 +10,11 @@ common, and all pieces of one hash go to one shard:
 1. Pieces whose anchor hash occurs once are dropped; counting precedes the join.
 2. Equal pieces of a hash count as one; if there are two or more, all their strings are repeats.
 3. Where a hash has different pieces, one of each goes to the hash's shard. The shard's suffixes are sorted by
-   external induced sorting (induced_sort.py), which needs memory for its current blocks only; strings
-   that share LENGTH bytes with a neighbour in that order are repeats.
+   induced sorting (induced_sort.py); strings that share LENGTH bytes with a neighbour in that order are repeats.
+   If the different pieces of a hash have more than HOT bytes, they are halved first, by the offset of the anchor in
+   their strings: the strings of a half have more bytes around the anchor in common if they are equal, and a hash of
+   these is the half's anchor. Halves are counted and dealt anew; those still beyond HOT are halved again, at most
+   until a part is one string. So no shard has more than SHARD + HOT bytes and a piece.
 4. The repeats of all pieces are gathered per text, merged and cut out.
 
 Documents with the same text share a key, the text's MD5, so exact copies of any number need one
@@ -40,6 +43,8 @@ from .shingles import FACTOR, mixed
 LENGTH, GRAM = 200, 32
 CHUNK = 1 << 22
 SHARD = 1 << 21
+HOT = SHARD
+OFFSETS = LENGTH - GRAM + 1
 
 
 def byte_values() -> np.ndarray:
@@ -214,6 +219,58 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
     return dealt.mapInArrow(each, "anchor long, body long, first long, last long")
 
 
+def halved(pieces: DataFrame, level: int) -> DataFrame:
+    """anchor, body, part, kind, shift, n, at and bytes: pieces (anchor, body, n, at, bytes) cut by the offset of the
+    anchor in their strings, at the edges of level + 1 halvings of all offsets. part: a hash of the bytes that strings
+    with such offsets have in common if they are equal; kind: of all bytes; shift: the first start in the
+    piece; at: the place of the anchor, if known."""
+    edges = [0, OFFSETS]
+    for _ in range(level + 1):
+        edges = sorted({*edges, *((a + b) // 2 for a, b in zip(edges, edges[1:]))})
+    names = ["anchor", "body", "part", "kind", "shift", "n", "at", "bytes"]
+    types = [pa.int64(), pa.int64(), pa.uint64(), pa.uint64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, low = Anchors(), np.uint64((1 << 24) - 1)
+        for batch in batches:
+            rows = []
+            for anchor, body, n, at, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is None:
+                    at = int(np.argmin(tool.grams(np.frombuffer(data[:LENGTH], np.uint8)) & ~low))
+                for a, b in zip(edges, edges[1:]):
+                    first, last = max(0, at - b + 1), min(n - 1, at - a)
+                    if first <= last:
+                        core, whole = data[at - a : at - b + 1 + LENGTH], data[first : last + LENGTH]
+                        part = xxhash.xxh3_64_intdigest(core, a * LENGTH + b)
+                        rows.append((anchor, body, part, xxhash.xxh3_64_intdigest(whole), first, last - first + 1, at - first, whole))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([c.view(pa.int64()) if c.type == pa.uint64() else c for c in columns], names)
+
+    return pieces.select("anchor", "body", "n", "at", "bytes").mapInArrow(each, "anchor long, body long, part long, kind long, shift int, n int, at int, bytes binary")
+
+
+def groups(kinds: DataFrame) -> DataFrame:
+    """anchor and held (bytes) of the anchors with two different pieces or more in kinds (anchor, body, n)."""
+    held = F.sum(F.col("n") + F.lit(LENGTH - 1).cast("long")).alias("held")
+    return settled(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), held).where("different > 1").select("anchor", "held"), "groups")
+
+
+def repeats_in_halves(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """anchor, body, first, last: runs of repeated starts in different pieces (anchor, body, n, at, bytes) of anchors with
+    more than HOT bytes."""
+    halves = settled(halved(pieces, level), "halves")
+    one = [F.first(c).alias(c) for c in ("n", "at", "bytes")]
+    kinds = settled(halves.groupBy(F.col("part").alias("anchor"), F.col("kind").alias("body")).agg(F.count(F.lit(1)).alias("m"), *one), "half-kinds")
+    several = groups(kinds)
+    differ = kinds.join(several, "anchor")
+    whole = kinds.where("m > 1").select("anchor", "body", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
+    found = whole.unionByName(sorted_shards(differ.where(F.col("held") <= HOT)))
+    if not several.where(F.col("held") > HOT).isEmpty():
+        found = found.unionByName(repeats_in_halves(differ.where(F.col("held") > HOT), level + 1))
+    found = found.withColumnsRenamed({"anchor": "part", "body": "kind"})
+    return halves.join(found, ["part", "kind"]).select("anchor", "body", (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """key, spans: for each text with repeats the byte spans to remove, as begin, end, begin, end, ..."""
     pieces = settled(piece_table(docs), "pieces")
@@ -221,9 +278,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = settled(pieces.join(often, "anchor"), "shared-pieces")
     done_with(pieces)
     kinds = settled(shared.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "doc_id", "place", "n")).alias("one")), "piece-kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).where("different > 1").select("anchor")
-    differ = kinds.join(several, "anchor").select("one.*", "anchor", "body")
-    found = settled(sorted_shards(cut_pieces(docs, differ)), "repeats")
+    several = groups(kinds.select("anchor", "body", "one.n"))
+    differ = kinds.join(several, "anchor").select("one.*", "anchor", "body", "held")
+    found = sorted_shards(cut_pieces(docs, differ.where(F.col("held") <= HOT)))
+    if not several.where(F.col("held") > HOT).isEmpty():
+        hot = cut_pieces(docs, differ.where(F.col("held") > HOT)).withColumn("at", F.lit(None).cast("int"))
+        found = found.unionByName(repeats_in_halves(hot))
+    found = settled(found, "repeats")
     whole = shared.join(kinds.where("m > 1").select("anchor", "body"), ["anchor", "body"]).select("key", F.col("place").alias("begin"), (F.col("place") + F.col("n") + LENGTH - 1).alias("end"))
     part = shared.join(found, ["anchor", "body"]).select("key", (F.col("place") + F.col("first")).alias("begin"), (F.col("place") + F.col("last") + LENGTH).alias("end"))
     spans = whole.unionByName(part).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))

@@ -196,6 +196,35 @@ def test_short_text_before_very_long_ones(spark):
     assert sorted(map(tuple, got)) == [(i, len(t), *((1000, 1) if i in (2, 4) else (0, 0))) for i, t in rows]
 
 
+def test_crowded_anchor_is_split(spark, monkeypatch):
+    """Different texts around one passage, some of which share more than it: no group of a shard has more than HOT bytes."""
+    monkeypatch.setattr(substring_dedup, "HOT", 4000, raising=False)
+    sizes, search = [], substring_dedup.sorted_shards
+
+    def spied(pieces):
+        sizes.extend(r[1] for r in pieces.groupBy("anchor").agg(F.sum(F.length("bytes"))).collect())
+        return search(pieces)
+
+    monkeypatch.setattr(substring_dedup, "sorted_shards", spied)
+    draw = np.random.default_rng(11)
+    noise = lambda n: draw.integers(97, 123, n, np.uint8).tobytes().decode()
+    passage, sides = noise(60), [(noise(160), noise(160)) for _ in range(4)]
+    rows = [(k, noise(150) + passage + noise(150)) for k in range(60)]
+    for k in range(60, 160):  # these share from 40 to 160 bytes on each side of the passage with some others
+        (a, b), (left, right) = sides[k % 4], draw.integers(40, 160, 2)
+        rows.append((k, noise(99) + a[160 - left :] + passage + b[:right] + noise(99)))
+    seen = Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    want = []
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            gone[k : k + 200] |= seen[t[k : k + 200]] > 1
+        want.append((i, int(gone.sum()), "".join(c for c, g in zip(t, gone) if not g).encode()))
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in got) == want and any(r[1] for r in want) and not all(r[1] for r in want)
+    assert max(sizes) <= 4000
+
+
 def test_search(spark, docs, empty):
     shards = common.settled(topk_search.index(docs), "shards")
     queries = spark.createDataFrame([(1, "one"), (2, ""), (3, None), (4, "absent"), (5, "word1 thing2 word1")], "query_id long, text string")
