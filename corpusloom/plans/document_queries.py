@@ -186,7 +186,7 @@ def g13_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, list_filter(string_split(regexp_replace(left(text, 3000), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda s: regexp_matches(s, '[0-9]')) AS claims FROM documents")
 def g12_numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = T.loose_sentences(F.substring("text", 1, 3000))
+    parts = T.loose_sentences(F.col("text"))
     return D.table(spark, sf_dir, "documents").select("doc_id", F.filter(parts, lambda s: s.rlike("[0-9]")).alias("claims"))
 
 
