@@ -33,7 +33,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with a made-up font size and page."""
     c = D.chunks(spark, sf_dir)
     size = F.when(F.col("ordinal") % 9 == 0, 18.0).when(F.col("ordinal") % 7 == 0, 14.0).when(F.col("ordinal") % 5 == 0, 12.0).otherwise(10.0)
-    return c.select(F.col("document_id").alias("doc_id"), "ordinal", size.alias("size"), F.substring("text", 1, 150).alias("text"), (F.floor(F.col("ordinal") / 30) + 1).alias("page"))
+    return c.select(F.col("document_id").alias("doc_id"), "ordinal", size.alias("size"), "text", (F.floor(F.col("ordinal") / 30) + 1).alias("page"))
 
 
 LINES_SQL = f"""{D.CHUNKS_SQL},

@@ -157,7 +157,7 @@ SELECT doc_id, ordinal::INTEGER AS ordinal, text FROM l WHERE NOT ((y < 0.48 OR
 def s10_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = D.chunks(spark, sf_dir)
     page = F.floor(F.col("ordinal") / 4)
-    l = c.select(F.col("document_id").alias("doc_id"), page.alias("page"), (F.col("ordinal") % 4).alias("y"), F.lit(4.0).alias("height"), F.substring("text", 1, 6).alias("text"), "ordinal")  # noqa: E741
+    l = c.select(F.col("document_id").alias("doc_id"), page.alias("page"), (F.col("ordinal") % 4).alias("y"), F.lit(4.0).alias("height"), "text", "ordinal")  # noqa: E741
     return ingest.running_lines(l).select("doc_id", "ordinal", "text")
 
 

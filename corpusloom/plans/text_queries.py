@@ -56,7 +56,7 @@ over_documents("t22_payloads", lambda x: T.payloads(x), "regexp_extract_all(text
 over_documents("t23_clean_spaces", lambda x: T.clean_spaces(x), "trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' +([.,;:])', '\\1', 'g'), ' ')")
 over_documents("t27_readable", lambda x: T.readable(F.concat(F.lit("| "), "lang", F.lit(" | --- | "), "source", F.lit(" |"))), "lang || ', ' || source")
 over_documents("s14_title_from_filename", lambda x: T.title_from_filename(F.concat(F.lit("a/b/my_file-"), "lang", F.lit(".md"))), "'My File ' || upper(lang[1]) || lang[2:]")
-over_documents("t24_safe_filename", lambda x: T.safe_filename(F.concat(F.lit("dir/"), F.substring(x, 1, 40))), "regexp_replace(regexp_extract('dir/' || left(text, 40), '[^/\\\\]*$'), '[^A-Za-z0-9._-]+', '_', 'g')")
+over_documents("t24_safe_filename", lambda x: T.safe_filename(F.concat(F.lit("dir/"), x)), "regexp_replace(regexp_extract('dir/' || left(text, 40), '[^/\\\\]*$'), '[^A-Za-z0-9._-]+', '_', 'g')")
 over_documents("c6_normalized_text", lambda x: F.array_join(T.filled(F.split(x, "\n")), "\n\n"), f"array_to_string({S.filled('string_split(text, chr(10))')}, chr(10) || chr(10))")
 over_documents(
     "t12_document_hash",
