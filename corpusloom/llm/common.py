@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +32,12 @@ def settled(df: DataFrame, kind: str) -> DataFrame:
 
 
 def done_with(*tables: DataFrame) -> None:
-    """Removes tables that settled() wrote and nothing will read again."""
+    """Removes tables that settled() wrote and nothing will read again. Tables of other origin stay."""
     for df in tables:
+        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            spark = df.sparkSession
+            if not re.search(r"/[a-z-]+-[0-9a-f]{32}$", folder):
+                continue
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -6,42 +6,47 @@ one value of the first collection with one of the second, so BANDS * BANDS table
 similarity s that has the probability (1 - (1 - s**ROWS)**BANDS)**2, 0.9998 at 0.75. A table key can
 only be shared where its first value is, so keys are formed for the documents that share one.
 
-1. Documents with the same shingle set form a class, represented by its smallest doc_id; aggregation
+1. Documents with the same shingle set form a class, represented by its smallest key; aggregation
    before the shuffle keeps a class of any size cheap.
-2. Members of a table's bucket are paired with a pivot each, at most PIVOTS for a document, those it meets
-   most often; pairs are confirmed on full sets and joined to components.
-3. Buckets that then hold several components are searched in whole: all pairs of members of different
-   components whose sketches agree well enough, in blocks of BLOCK members, are confirmed on full sets.
-   A pair within one component needs no test, as a further link can't change the result.
-
-So no group's pairs are listed, and no link between different components is left untested. The sketch
-test drops pairs whose share of equal minhashes lies more than three standard deviations below the
-similarity asked for.
+2. In ROUNDS rounds each bucket of a table names a pivot, the member with the least hash of itself and the bucket, so
+   that a document has other pivots in other tables. Members are paired with the PIVOTS pivots that they meet most
+   often, pairs are confirmed on full sets, and what is linked is one component from then on. A round is linear work,
+   and the next one takes only buckets that still hold several components.
+3. What meets in those buckets and isn't linked yet is settled on full sets, by exact rules (rare_shingles, rivals): a
+   shingle is live if documents of two components have it; a document with fewer live shingles than a link needs has no
+   further link; two linked ones share one of their rarest shingles, and places in the order of rarity, sizes and
+   numbers of live shingles bound what a pair can share. The few documents that this leaves are compared by lists of
+   such a shingle, and a comparison returns the links that join components, fewer than it has members.
+
+So each pair that meets in a table is either linked through others or ruled out on its full sets: the tables' miss rate
+is the only one. No pairs of a group are listed. A list of more than LIST shingles is dealt to several tasks: members of
+its largest component go to one block each, the others to all, as only pairs across components matter.
 
 Defined results: a document without words links with nothing; rows of one doc_id are one vertex; documents
-with a null doc_id come after all others and are told apart by their texts, and a component of such documents
-only has a null component_id; repeated rows give repeated results. Only doc_id and text are read.
+with a null doc_id are told apart by their texts, and a component of such documents only has a null component_id, of which
+one text is kept; repeated rows give repeated results. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged, shingles
-from .common import NAMELESS, document_key, settled
+from .common import document_key, done_with, settled
 from .components import components
 
 BANDS, ROWS = 24, 4
 HASHES = 2 * BANDS * ROWS
-PIVOTS = 2
-BLOCK = 4096
+ROUNDS, PIVOTS = 2, 2
+LIST = 1 << 21
 NEAR = 75
 
 
@@ -62,36 +67,36 @@ def sketch(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null without words) and sketch of each row."""
+    """key, doc_id, n_shingles, class (null without words) and sketch of each row of docs (key, doc_id, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in ragged.slices(ragged.strings(batch.column(1))):
+            for part in ragged.slices(ragged.strings(batch.column(2))):
                 found = shingles.sets(part)
-                some = [len(s) > 0 for s in found]
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
                 values = np.concatenate([np.zeros(0, "<u8"), *(sketch(s) for s in found if len(s))]).view(np.int64)
-                sizes = np.where(some, 2 * BANDS, 0)
-                columns = [batch.column(0).slice(at, len(part)), pa.array(map(len, found), pa.int64()), pa.array(names, pa.binary()), ragged.list_array(values, sizes, pa.int64())]
+                sizes = np.where([len(s) > 0 for s in found], 2 * BANDS, 0)
+                ids = [batch.column(k).slice(at, len(part)) for k in (0, 1)]
+                columns = [*ids, pa.array(map(len, found), pa.int64()), pa.array(names, pa.binary()), ragged.list_array(values, sizes, pa.int64())]
                 at += len(part)
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n_shingles", "class", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, class binary, sketch array<long>")
+    return docs.select("key", "doc_id", "text").mapInArrow(each, "key long, doc_id long, n_shingles long, class binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole shingle set, as bytes, of each row."""
+    """doc and the whole shingle set, as bytes, of each row of docs (key, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in ragged.slices(ragged.strings(batch.column(1))):
                 found = [s.tobytes() for s in shingles.sets(part)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(found, pa.binary())], ["doc", "shingles"])
                 at += len(part)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, shingles binary")
+    return docs.select("key", "text").mapInArrow(each, "doc long, shingles binary")
 
 
 def shared(rows: DataFrame, *key: str) -> DataFrame:
@@ -101,130 +106,311 @@ def shared(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """bucket, number (of the table), doc: the members of all table buckets that hold several classes."""
-    cols = [F.slice("sketch", 1, BANDS).alias("first"), F.slice("sketch", BANDS + 1, BANDS).alias("second")]
+    """doc, bucket: the members of all table buckets that hold several classes (doc, sketch)."""
     firsts = classes.select("doc", F.posexplode(F.slice("sketch", 1, BANDS)).alias("i", "u"))
     met = shared(firsts, "i", "u")
-    keyed = met.join(classes.select("doc", *cols[1:]), "doc").select("doc", "i", "u", F.posexplode("second").alias("j", "v"))
-    number = (F.col("i") * BANDS + F.col("j")).cast("int")
-    return shared(keyed.select("doc", number.alias("number"), F.xxhash64("i", "u", "j", "v").alias("bucket")), "bucket")
+    seconds = classes.select("doc", F.slice("sketch", BANDS + 1, BANDS).alias("second"))
+    keyed = met.join(seconds, "doc").select("doc", "i", "u", F.posexplode("second").alias("j", "v"))
+    return shared(keyed.select("doc", F.xxhash64("i", "u", "j", "v").alias("bucket")), "bucket")
+
+
+def alike(x: bytes, y: bytes, near: int) -> bool:
+    """Whether 100 * intersection >= near * union of two sets."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if 100 * min(len(p), len(q)) < near * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= near * (len(p) + len(q) - both)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """Of pairs a, b (distinct) those with 100 * intersection >= near * union of their full sets."""
+    """Of pairs a, b those whose full sets are alike."""
 
     @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(p), len(q)) < near * max(len(p), len(q)):
-                return False
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return 100 * both >= near * (len(p) + len(q) - both)
-
-        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype=bool)
+    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([alike(x, y, near) for x, y in zip(left, right)], dtype=bool)
 
     a = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left"))
     b = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(a, "a").join(b, "b").where(alike("left", "right")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(linked("left", "right")).select("a", "b")
 
 
-def with_pivots(members: DataFrame) -> DataFrame:
-    """a, b: each document with the PIVOTS smallest members of its buckets that it meets most often."""
-    least = members.groupBy("bucket").agg(F.min("doc").alias("pivot"))
-    met = members.join(least, "bucket").where("doc <> pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
+def with_pivots(members: DataFrame, turn: int) -> DataFrame:
+    """a, b: each document with the PIVOTS pivots that it meets most often, of members (bucket, doc, component)
+    in different components."""
+    order = F.xxhash64("doc", "bucket", F.lit(turn))
+    pivots = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "doc", "component")).alias("least")).select("bucket", F.col("least.doc").alias("pivot"), F.col("least.component").alias("its"))
+    met = members.join(pivots, "bucket").where("component <> its").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "pivot"))), 1, PIVOTS)
     # a document meets at most one pivot a table: the list is short
     return met.groupBy("doc").agg(best.alias("best")).select(F.col("doc").alias("a"), F.explode("best.pivot").alias("b"))
 
 
-def across(members: DataFrame, near: int) -> DataFrame:
-    """a, b: pairs of one bucket in different components with sketches alike enough.
-
-    members: bucket, number, doc, component, sketch. A bucket's members are dealt to blocks of about BLOCK by a
-    hash; a comparison takes one block with itself or with another one, so it holds two blocks at most. A pair
-    that meets in several tables is reported in the first of them only."""
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(size.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    items = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc", "component", "number", "sketch"
-    )
-    share = near / 100
-    enough = HASHES * share - 3 * np.sqrt(HASHES * share * (1 - share))
-
-    def compare(rows: list[np.ndarray]) -> list[np.ndarray]:
-        """Pairs of one comparison: rows are p, q, own, doc, component, number and the sketches."""
-        p, q, own, doc, component, number, sketch_ = rows
-        values, same = sketch_.view(np.uint16), p[0] == q[0]
-        left = np.arange(len(doc)) if same else np.flatnonzero(own == p[0])
-        right = left if same else np.flatnonzero(own == q[0])
+def several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (with component) whose key occurs in two components or more."""
+    mixed = rows.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(key)
+    return rows.join(mixed, key)
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (doc) with the component of each document; one that no link has reached is its own."""
+    return rows.join(labels, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component: labels after further links (a, b). Only the components that these join are worked on."""
+    ends = links.select(F.col("a").alias("doc"), "b")
+    ends = labelled(ends, labels).select(F.col("component").alias("a"), F.col("b").alias("doc"))
+    between = labelled(ends, labels).select("a", F.col("component").alias("b"))
+    new = components(between).withColumnsRenamed({"node": "was", "component": "now"})
+    moved = labels.join(new, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = settled(moved.unionByName(new.where("was <> now").select(F.col("was").alias("node"), F.col("now").alias("component"))).distinct(), "labels")
+    done_with(labels, new)
+    return out
+
+
+def tokens(sets: DataFrame) -> DataFrame:
+    """token, doc, component, n: the shingles of sets (doc, component, shingles) as rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch.column(2)):
+                values = np.frombuffer(data.as_buffer(), np.int64)
+                same = [pa.repeat(batch.column(c)[k], len(values)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(values), *same, pa.repeat(pa.scalar(len(values), pa.int64()), len(values))], ["token", "doc", "component", "n"])
+
+    return sets.select("doc", "component", "shingles").mapInArrow(each, "token long, doc long, component long, n long")
+
+
+def rare_shingles(sets: DataFrame, near: int) -> DataFrame:
+    """token, doc, component, n (size of the set), live (number of live shingles) and place, from sets (doc, component,
+    shingles).
+
+    Shingles are ordered by rarity, those that aren't live first. Of two sets with a similarity of `near` percent each
+    shares that part of its shingles, so one of the n - ceil(near * n / 100) + 1 rarest is common to both; of these the
+    live ones are returned."""
+    rows = tokens(sets)
+    use = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("token", "df")
+    of = rows.join(use, "token").groupBy("doc", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
+    live = F.size("found").cast("long")
+    enough = of.withColumn("live", live).where(100 * F.col("live") >= near * F.col("n"))
+    first = F.slice("found", F.lit(1), (F.col("live") - F.ceil(near * F.col("n") / 100) + 1).cast("int"))
+    exploded = enough.select("doc", "component", "n", "live", F.posexplode(first).alias("at", "pair"))
+    return exploded.select("pair.token", "doc", "component", "n", "live", (F.col("n") - F.col("live") + F.col("at")).alias("place"))
+
+
+NUMBERS = ["token", "block", "away", "doc", "component", "n", "live", "place"]
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The lists of rows (of rare_shingles) with several components, with block and away (false in a row's own block).
+
+    A list of more than LIST shingles has several blocks; documents outside its largest component go to all of them."""
+    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("different"), F.sum("size").alias("size"), F.max_by("component", "m").alias("main")).where("different > 1")
+    blocks = F.ceil(F.col("size") / LIST).cast("int")
+    placed = rows.join(lists.select("token", blocks.alias("blocks"), "main"), "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    to: Column = F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return placed.withColumn("block", F.explode(to)).withColumn("away", F.col("block") != F.col("own")).select(*NUMBERS)
+
+
+class Block:
+    """The rows of one block of a list: its own ones first, then those that come from other blocks, in parts.
+
+    Columns are doc, component, n, live, place and, to compare, the sets as one array."""
+
+    def __init__(self, own: list[np.ndarray], near: int):
+        self.own, self.near = own, near
+        self.useful = np.zeros(len(own[0]), bool)
+        self.root = own[1].copy()
+        self.leader: dict[int, int] = {}
+        if len(own) > 5:
+            self.sizes, self.starts = own[2], np.cumsum(own[2]) - own[2]
+            self.known, self.where = np.unique(own[5], return_inverse=True)
+
+    def rivals(self, part: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Of rows the place in the part, and whether each own row is in another component and may share enough with it.
+        A pair's first common shingle bounds what it shares by the rest of both; at later ones the rule may fail."""
+        _, component, n, live, place = (c[:, None] for c in part[:5])
+        _, component_, n_, live_, place_ = self.own[:5]
+        step = max(1, (1 << 20) // max(1, len(n_)))
+        for a in range(0, len(n), step):
+            at = slice(a, a + step)
+            most = np.minimum(np.minimum(live[at], live_), np.minimum(n[at] - place[at], n_ - place_))
+            fits = (100 + self.near) * most >= self.near * (n[at] + n_)
+            fits &= component[at] != component_
+            for k in np.flatnonzero(fits.any(axis=1)).tolist():
+                yield a + k, fits[k]
+
+    def marked(self, part: list[np.ndarray]) -> np.ndarray:
+        """Which rows of the part have a rival here; own rows with one are noted."""
+        out = np.zeros(len(part[0]), bool)
+        for k, fits in self.rivals(part):
+            out[k] = True
+            self.useful |= fits
+        return out
+
+    def find(self, component: int) -> int:
+        while (up := self.leader.get(component, component)) != component:
+            component = up
+        return component
+
+    def links(self, part: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links of the part's rows with own ones that join two components."""
         found = []
-        for i in left.tolist():
-            others = right[right > i] if same else right
-            others = others[component[others] != component[i]]
-            hits = others[(values[others] == values[i]).sum(axis=1) >= enough] if len(others) else others
-            equal = sketch_[hits] == sketch_[i]
-            first = equal[:, :BANDS].argmax(axis=1) * BANDS + equal[:, BANDS:].argmax(axis=1) if len(hits) else hits
-            hits = hits[first == number[0]]
-            if len(hits):
-                found.append(np.stack([np.maximum(doc[hits], doc[i]), np.minimum(doc[hits], doc[i])], 1))
+        starts = np.cumsum(part[2]) - part[2]
+        mark = np.zeros(len(self.known) + 1, bool)
+        for k, fits in self.rivals(part):
+            mine = self.find(int(part[1][k]))
+            values = part[5][starts[k] : starts[k] + part[2][k]]
+            place = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+            place = place[self.known[place] == values]
+            mark[place] = True
+            others = np.flatnonzero(fits)
+            for a in range(0, len(others), 256):
+                some = others[a : a + 256]
+                some = some[self.root[some] != mine]
+                if not len(some):
+                    continue
+                both = np.add.reduceat(mark[self.where[ragged.spread(self.starts[some], self.sizes[some])]], np.cumsum(self.sizes[some]) - self.sizes[some], dtype=np.int64)
+                for j in some[(100 + self.near) * both >= self.near * (part[2][k] + self.sizes[some])].tolist():
+                    other = int(self.root[j])
+                    if other != mine:
+                        found.append((int(part[0][k]), int(self.own[0][j])))
+                        least = min(mine, other)
+                        self.leader[max(mine, other)] = least
+                        self.root[(self.root == other) | (self.root == mine)] = mine = least
+            mark[place] = False
         return found
 
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, list[np.ndarray]]]:
+    """Of rows in the order of NUMBERS, with the sets as a last column or without: token and block, away, and the other
+    columns of each run of rows that agree in these."""
+    for batch in batches:
+        flat = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: len(NUMBERS)]]
+        token, block, away = flat[:3]
+        new = (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (away[1:] != away[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(token)] if len(token) else [0]
+        if batch.num_columns > len(NUMBERS):
+            sets = batch.column(len(NUMBERS))
+            edges = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1]
+            data = np.frombuffer(sets.buffers()[2] or b"", np.uint8)
+        for a, b in zip(cuts, cuts[1:]):
+            part = [c[a:b] for c in flat[3:]]
+            if batch.num_columns > len(NUMBERS):
+                part.append(data[edges[a] : edges[b]].view(np.int64))
+            yield (int(token[a]), int(block[a])), bool(away[a]), part
+
+
+def walked(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[tuple[tuple, Block, list[np.ndarray] | None, bool]]:
+    """Key, block, part and away of each part of each block; the first part is the block's own rows, None its end."""
+    key: tuple = ()
+    own: list[list[np.ndarray]] = []
+    block: Block | None = None
+    for now, away, part in itertools.chain(runs(batches), [((), False, [])]):
+        if now != key:
+            if own and block is None:
+                block = Block([np.concatenate(c) for c in zip(*own)], near)
+                yield key, block, block.own, False
+            if block is not None:
+                yield key, block, None, False
+            key, own, block = now, [], None
+        if not away:
+            own.append(part)
+        elif own or block is not None:
+            if block is None:
+                block = Block([np.concatenate(c) for c in zip(*own)], near)
+                yield key, block, block.own, False
+            yield key, block, part, True
+
+
+def in_lists(rows: DataFrame) -> DataFrame:
+    """Rows of a block in one task, its own ones first."""
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block", "away")
+
+
+def rivals(lists: DataFrame, near: int) -> DataFrame:
+    """The rows of lists (of dealt()) that have a rival: a row of their block with which they may still be linked."""
+    kinds = dict(zip(NUMBERS, ("long", "int", "boolean", *["long"] * 5)))
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Comparisons come one after the other; the last of a batch may go on in the next one."""
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            flat = [batch.column(k).to_numpy() for k in range(7)]
-            flat.append(batch.column(7).values.slice(batch.column(7).offsets[0].as_py(), len(batch) * 2 * BANDS).to_numpy().reshape(-1, 2 * BANDS))
-            if rest is not None:
-                flat = [np.concatenate(x) for x in zip(rest, flat)]
-            bucket, p, q = flat[:3]
-            cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            edges = [0, *cut.tolist()]
-            found = [x for a, b in zip(edges, edges[1:]) if b - a > 1 for x in compare([c[a:b] for c in flat[1:]])]
-            rest = [c[edges[-1] :] for c in flat]
-            if found:
-                yield pairs(found)
-        if rest is not None and len(rest[0]) > 1 and (found := compare(rest[1:])):
-            yield pairs(found)
-
-    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    ordered = items.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "own", "doc", "component", "number", "sketch")
-    return ordered.mapInArrow(each, "a long, b long").distinct()
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            columns[1] = columns[1].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NUMBERS)
+
+        for (token, number), block, part, away in walked(batches, near):
+            if part is None:
+                part, keep = block.own, block.useful
+            else:
+                keep = block.marked(part)
+                if not away:
+                    continue
+            n = int(keep.sum())
+            if n:
+                held.append([np.full(n, token), np.full(n, number), np.full(n, away), *(c[keep] for c in part)])
+                size += n
+            if size > 20_000:
+                yield flushed()
+                held, size = [], 0
+        if held:
+            yield flushed()
+
+    return in_lists(lists).select(*NUMBERS).mapInArrow(each, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+
+
+def links_of_rivals(rows: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """a, b: links that join the components of rows (of rivals()), by their full sets; of each block a spanning set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block, part, _ in walked(batches, near):
+            if part is not None and (found := block.links(part)):
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return in_lists(rows.join(sets, "doc")).select(*NUMBERS, "shingles").mapInArrow(each, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of `near` percent
     similarity or more) and kept (doc_id = component_id) for each row of docs (doc_id, text)."""
-    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
-    return grouped(docs, near).select(named("key").alias("doc_id"), "n_shingles", named("component").alias("component_id"), "kept")
+    return grouped(docs, near).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def grouped(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """near_duplicates() with document keys: key, n_shingles, component and kept."""
-    docs = docs.select(document_key().alias("doc_id"), "text")
+    """near_duplicates() with document keys: key, doc_id, n_shingles, component_id and kept."""
+    docs = docs.select(document_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = settled(sketches(docs), "sketches")
-    with_words = rows.where("class IS NOT NULL")
-    classes = with_words.groupBy("class").agg(F.min("doc_id").alias("doc"))
-    # all rows of a class have its sketch: those of the representative are enough
-    sketched = with_words.join(classes, "class").where("doc_id = doc").groupBy("doc").agg(F.first("sketch").alias("sketch"))
-    members = settled(buckets(sketched), "buckets")
-    wanted = members.select("doc").distinct()
-    candidates = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
-    sets = settled(full_sets(candidates).groupBy(F.col("doc_id").alias("doc")).agg(F.max("shingles").alias("shingles")), "sets")
-    links = settled(confirmed(with_pivots(members), sets, near), "links")
-    found = components(links)
-    label = F.coalesce(F.col("component"), F.col("doc"))
-    labelled = members.join(found, F.col("doc") == F.col("node"), "left").select("bucket", "number", "doc", label.alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_members = settled(labelled.join(mixed, "bucket").join(sketched, "doc"), "open")
-    more = settled(confirmed(across(open_members, near), sets, near), "links")
-    final = components(links.union(more))
-    reach = classes.join(final, F.col("doc") == F.col("node"), "left").select("class", F.coalesce("component", "doc").alias("reached"))
-    component = F.coalesce(F.col("reached"), F.col("doc_id"))
-    found = rows.join(reach, "class", "left").select(F.col("doc_id").alias("key"), "n_shingles", component.alias("component"))
-    return found.withColumn("kept", F.col("key") == F.col("component"))
+    least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("key", "sketch")).alias("least"), F.min("doc_id").alias("id"))
+    classes = settled(least.select("class", "id", F.col("least.key").alias("doc"), F.col("least.sketch").alias("sketch")), "classes")
+    members = settled(buckets(classes), "buckets")
+    candidates = docs.join(members.select(F.col("doc").alias("key")).distinct(), "key", "left_semi")
+    sets = settled(full_sets(candidates).groupBy("doc").agg(F.max("shingles").alias("shingles")), "sets")
+
+    opened = members.withColumn("component", F.col("doc"))
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(ROUNDS):
+        links = settled(confirmed(with_pivots(opened, turn), sets, near), "links")
+        labels = merged(labels, links)
+        left = settled(several(labelled(opened.drop("component"), labels), "bucket"), "open")
+        done_with(links, opened)
+        opened = left
+    unsettled = labelled(opened.select("doc").distinct(), labels)
+    lists = settled(rare_shingles(unsettled.join(sets, "doc"), near), "rare")
+    close = settled(rivals(dealt(lists), near), "rivals")
+    links = settled(links_of_rivals(close, sets, near), "links")
+    labels = merged(labels, links)
+
+    reach = labelled(classes.select("class", "doc", "id"), labels)
+    ids = reach.groupBy("component").agg(F.min("id").alias("component_id"))
+    reach = settled(reach.join(ids, "component").select("class", "component", "component_id"), "reach")
+    done_with(classes, opened, sets, lists, close, links, labels)
+    # without words a document is its own component
+    found = rows.join(reach, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    nameless = F.col("key") == F.coalesce("component", "key")
+    kept = F.when(F.col("component_id").isNull(), nameless).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("key", "doc_id", "n_shingles", "component_id", kept.alias("kept"))

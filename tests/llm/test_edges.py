@@ -49,8 +49,9 @@ def test_near_duplicates(docs, empty):
 
 
 def test_links_within_one_crowded_bucket(spark, monkeypatch):
-    """Chains of documents, each like its neighbours only, and blocks smaller than the buckets."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    """Chains of documents, each like its neighbours only, and blocks smaller than the lists."""
+    monkeypatch.setattr(near_dedup, "LIST", 300)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     words = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join(words[6 * k : 6 * k + 80])) for k in range(40)] + [(100 + k, " ".join(words[:60] + [f"t{k}_{j}" for j in range(30)])) for k in range(20)]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
