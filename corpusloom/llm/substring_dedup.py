@@ -14,7 +14,8 @@ common, and all pieces of one hash go to one shard:
    If the different pieces of a hash have more than HOT bytes, they are halved first, by the offset of the anchor in
    their strings: the strings of a half have more bytes around the anchor in common if they are equal, and a hash of
    these is the half's anchor. Halves are counted and dealt anew; those still beyond HOT are halved again, at most
-   until a part is one string. So no shard has more than SHARD + HOT bytes and a piece.
+   until a part is one string. So no shard has more than SHARD + HOT bytes and a piece. The halves keep tasks even; a shard
+   of any size could be sorted, as it is written to a file of the task as it comes and sorted with bounded memory.
 4. The repeats of all pieces are gathered per text, merged and cut out.
 
 Documents with the same text share a key, the text's MD5, so exact copies of any number need one
@@ -27,6 +28,7 @@ are copies of each other, and null ids are kept.
 from __future__ import annotations
 
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,36 +159,59 @@ def cut_pieces(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     return joined.mapInArrow(each, "anchor long, body long, n int, bytes binary")
 
 
-def repeats_in(bodies: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For different pieces with numbers of starts: piece, first and last start of each run of repeats."""
-    size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
-    total = int(size.sum()) + 1
-    spool = tempfile.TemporaryFile() if total > 16 * SHARD else None
-    text = np.memmap(spool, np.uint16, "w+", shape=(total,)) if spool else np.empty(total, np.uint16)
-    end = np.cumsum(size)
-    begin = end - size
-    step = max(1, len(bodies) // max(1, total // SHARD))
-    for k in range(0, len(bodies), step):  # 1 parts the pieces, 0 ends the text
-        flat = np.frombuffer(b"\x00".join(bodies[k : k + step]) + b"\x00", np.uint8).astype(np.uint16) + 2
-        text[begin[k] : begin[k] + len(flat)] = flat
-    text[end - 1], text[total - 1] = 1, 0
-    position, prefix = induced_sort.sorted_suffixes(text, LENGTH)
-    piece = np.searchsorted(begin, position, "right") - 1
-    start = position - begin[piece]
-    wanted = np.flatnonzero((position < total - 1) & (start < counts[piece]))
-    if not len(wanted):
-        return (np.zeros(0, np.int64),) * 3
-    # between two wanted suffixes the least prefix counts
-    least = np.minimum.reduceat(prefix, np.concatenate([[0], wanted[:-1] + 1]))
-    with_last = least >= LENGTH
-    with_last[0] = False
-    hit = with_last | np.append(with_last[1:], False)
-    at = np.sort(position[wanted[hit]])
-    piece = np.searchsorted(begin, at, "right") - 1
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])]) if len(at) else np.zeros(0, bool)
-    first = at[new]
-    last = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1:]) if len(at) else at
-    return piece[new], first - begin[piece[new]], last - begin[piece[new]]
+class Shard:
+    """Different pieces and the suffixes of all of them. The bytes go to a scratch file as they come; what is in memory
+    is bounded by the room, but for four numbers a piece."""
+
+    def __init__(self, bound: int = induced_sort.BOUND) -> None:
+        self.bound, self.file, self.size = bound, tempfile.TemporaryFile(), 0
+        self.columns = [array("q") for _ in range(4)]  # anchor, body, number of starts, first sign
+
+    def add(self, anchor: int, body: int, n: int, data: bytes) -> None:
+        for column, value in zip(self.columns, (anchor, body, n, self.size)):
+            column.append(value)
+        # 1 parts the pieces, 0 ends the text
+        self.file.write((np.frombuffer(data + b"\x00", np.uint8).astype(np.uint16) + 2 - (np.arange(len(data) + 1) == len(data)).astype(np.uint16)).data)
+        self.size += len(data) + 1
+
+    def text(self) -> np.ndarray:
+        self.file.write(np.zeros(1, np.uint16).data)
+        self.file.flush()
+        if self.size < self.bound // 2:
+            self.file.seek(0)
+            return np.frombuffer(self.file.read(), np.uint16)
+        return np.memmap(self.file, np.uint16, "r", shape=(self.size + 1,))
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece, first and last start of each run of repeats: starts whose LENGTH bytes are those of a neighbour in the
+        order of suffixes, ends of pieces left out."""
+        room, text = induced_sort.Room(self.bound), self.text()
+        counts, begin = (np.frombuffer(c, np.int64) for c in self.columns[2:])
+        mark = room.array(bool, self.size + 1)
+        least, before = LENGTH, -1
+        for position, prefix in induced_sort.sorted_suffixes(text, LENGTH, room):
+            piece = np.searchsorted(begin, position, "right") - 1
+            wanted = np.flatnonzero((position < self.size) & (position - begin[piece] < counts[piece]))
+            if not len(wanted):
+                least = min(least, int(prefix.min()))
+                continue
+            # between two wanted suffixes the least prefix counts
+            between = np.minimum.reduceat(prefix[: wanted[-1] + 1], np.concatenate([[0], wanted[:-1] + 1]))
+            between[0] = min(between[0], least) if before >= 0 else 0
+            least = int(prefix[wanted[-1] + 1 :].min(initial=LENGTH))
+            place, hit = position[wanted], between >= LENGTH
+            mark[place[hit]] = True
+            mark[np.append(before, place[:-1])[hit]] = True
+            before = int(place[-1])
+        edges, last = [], np.zeros(1, bool)
+        for a, b in induced_sort.spans(self.size + 1, room.block):
+            here = np.concatenate([last, mark[a:b]])
+            edges.append(np.flatnonzero(here[1:] != here[:-1]) + a)
+            last = here[-1:]
+        edge = np.concatenate(edges)
+        first, last_ = edge[::2], edge[1::2] - 1
+        piece = np.searchsorted(begin, first, "right") - 1
+        return piece, first - begin[piece], last_ - begin[piece]
 
 
 def sorted_shards(pieces: DataFrame) -> DataFrame:
@@ -194,26 +219,24 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
     sorting the suffixes of whole anchor groups together, about SHARD bytes at a time."""
     names = ["anchor", "body", "first", "last"]
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        piece, first, last = repeats_in([r[3] for r in rows], np.array([r[2] for r in rows], np.int64))
-        keys = [pa.array([rows[k][c] for k in piece.tolist()], pa.int64()) for c in (0, 1)]
+    def solved(shard: Shard) -> pa.RecordBatch:
+        piece, first, last = shard.repeats()
+        keys = [pa.array(np.frombuffer(c, np.int64)[piece]) for c in shard.columns[:2]]
         return pa.RecordBatch.from_arrays([*keys, pa.array(first, pa.int64()), pa.array(last, pa.int64())], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held, last = 0, None
+        shard, last = Shard(), (None, None)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:2] == last:
                     continue
-                if held > SHARD and row[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[3])
+                if shard.size > SHARD and row[0] != last[0]:
+                    yield solved(shard)
+                    shard = Shard()
+                shard.add(*row)
                 last = row[:2]
-        if rows:
-            yield solve(rows)
+        if shard.size:
+            yield solved(shard)
 
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "body").select("anchor", "body", "n", "bytes")
     return dealt.mapInArrow(each, "anchor long, body long, first long, last long")
