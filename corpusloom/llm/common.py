@@ -42,6 +42,13 @@ def done_with(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def below(wanted: int, among: int) -> int:
+    """A bound on xxhash64 values under which some four times `wanted` of `among` distinct ones lie, so that a sample of the
+    smallest hashes takes as many rows from each task as there are in the whole sample, not in each task."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    return high if among <= 4 * wanted else low + (1 << 64) * 4 * wanted // among
+
+
 #: Bytes of an Arrow batch on its way to a Python worker. A batch takes its size several times over, in the
 #: executor and in the worker; a longer single row is a batch of its own.
 BATCH_BYTES = 4 << 20

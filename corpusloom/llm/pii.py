@@ -8,10 +8,11 @@ digits, or the same local part, share a skip potential with the one before, howe
 that is written once in full and later without its prefix gets one label. Sum-product messages pass along
 all edges until they settle; a mention whose marginal for a kind is at least `sure` becomes a span.
 
-Weights are trained here: unary ones as a logistic model of the rules' labels on the shape of a mention
-and the word before it, where mentions that no rule accepted count as O with a low weight (they are
-unlabelled rather than negative); chain and skip ones as log ratios of label pairs to chance. The sample
-is bounded: the `sample_docs` documents with the smallest text hashes among those with mentions.
+Weights are trained here, all at once, by the pseudo-likelihood of the rules' labels: each mention's label given its
+shape, the word before it, and the labels of its chain and skip neighbours. A mention that no rule accepted counts as O with a
+low weight (it is unlabelled rather than negative); one that resembles an accepted mention is what the field is to judge
+and isn't trained on. Without repeated mentions in the sample skip weights stay at zero. The sample
+is bounded: the `sample_docs` documents with the smallest text hashes among those with mentions, `sample_mentions` of each.
 
 A null text is an empty one. Spans are in code points, end exclusive; those of one kind don't overlap;
 kinds may. Edges link a mention to one earlier one, so work is linear in a text's length whatever repeats.
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import below
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -184,8 +187,11 @@ def soft(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = 3000, sample_mentions: int = 50, unlabelled: float = 0.1) -> Field:
-    """The field's weights from at most sample_docs documents, and of each at most sample_mentions mentions."""
-    some = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("hash"), text).orderBy("hash", text).limit(sample_docs)
+    """The field's weights from at most sample_docs documents, and of each at most sample_mentions mentions. Documents are
+    counted first; only features of mentions leave the tasks."""
+    hashed = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("hash"), text)
+    n = hashed.agg(F.approx_count_distinct("hash").alias("n")).first()["n"]
+    some = hashed.where(F.col("hash") <= F.lit(below(sample_docs, n)))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -193,40 +199,80 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 3000, sample_m
             for h, t in zip(batch["hash"], batch[text]):
                 nodes = mentions(t, base_spans(t))[:sample_mentions]
                 links = dict((b, a) for a, b in skips([likeness(t, s, e) for s, e, _ in nodes]))
-                rows += [(h, k, max(label, 0), label >= 0, features(t, s, e), links.get(k, -1)) for k, (s, e, label) in enumerate(nodes)]
-            yield pd.DataFrame(rows, columns=["doc", "place", "label", "known", "features", "link"])
-
-    rows = some.mapInPandas(each, "doc long, place int, label int, known boolean, features array<int>, link int").orderBy("doc", "place").collect()
+                shown = [[*features(t, s, e), max(label, 0), int(label >= 0), links.get(k, -1)] for k, (s, e, label) in enumerate(nodes)]
+                rows.append((h, [len(x) for x in shown], [v for x in shown for v in x]))
+            yield pd.DataFrame(rows, columns=["hash", "sizes", "values"])
+
+    found = some.mapInPandas(each, "hash long, sizes array<int>, values array<int>")
+    # texts with one hash count once
+    kept = found.groupBy("hash").agg(F.min(F.struct("sizes", "values")).alias("x")).orderBy("hash").limit(sample_docs).collect()
+    rows: list[tuple] = []
+    for r in kept:
+        at, first = 0, len(rows)
+        for k, size in enumerate(r["x"]["sizes"]):
+            *shape, label, known, link = r["x"]["values"][at : at + size]
+            rows.append((shape, label, bool(known), first + k - 1 if k else -1, first + link if link >= 0 else -1))
+            at += size
     return fit(rows, unlabelled)
 
 
-def fit(rows: list, unlabelled: float) -> Field:
+class Sample:
+    """Mentions as arrays: features, labels, weights, and for each the mentions before and after it in the chain and by likeness
+    (a number beyond the last for none)."""
+
+    def __init__(self, rows: list[tuple], unlabelled: float):
+        n = len(rows)
+        self.x = np.zeros((n, N_FEATURES), np.float32)
+        for i, r in enumerate(rows):
+            self.x[i, r[0]] = 1
+        self.y = np.array([r[1] for r in rows], np.int64)
+        known = np.array([r[2] for r in rows], bool)
+
+        def neighbours(column: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            before, after = np.full(n, n), np.full(n, n)
+            for i, r in enumerate(rows):
+                if r[column] >= 0 and among[i] and among[r[column]]:
+                    before[i], after[r[column]] = r[column], i
+            return before, after
+
+        self.chain, self.skip = neighbours(3, np.ones(n, bool)), neighbours(4, known)
+        alike = np.zeros(n, bool)
+        for i, r in enumerate(rows):
+            if r[4] >= 0 and known[i] != known[r[4]]:
+                alike[i if known[r[4]] else r[4]] = True
+        self.weight = np.where(known, 1.0, np.where(alike, 0.0, unlabelled))
+
+    def likelihood(self, field: Field) -> tuple[float, Field]:
+        """The mean weighted log pseudo-likelihood and its gradient."""
+        k, n = len(LABELS), len(self.y)
+        hot = np.zeros((n + 1, k))
+        hot[np.arange(n), self.y] = 1.0
+        scores = self.x @ field.unary
+        for (before, after), table in ((self.chain, field.chain), (self.skip, field.skip)):
+            scores = scores + hot[before] @ table + hot[after] @ table.T
+        total = max(self.weight.sum(), 1e-9)
+        logs = scores - np.logaddexp.reduce(scores, axis=1)[:, None]
+        gap = (hot[:n] - np.exp(logs)) * (self.weight / total)[:, None]
+        tables = [hot[before].T @ gap + (hot[after].T @ gap).T for before, after in (self.chain, self.skip)]
+        return float((logs[np.arange(n), self.y] * self.weight).sum() / total), Field(self.x.T @ gap, *tables)
+
+
+def fit(rows: list[tuple], unlabelled: float, rounds: int = 300, rate: float = 0.05, shrink: float = 1e-4) -> Field:
+    """Weights of greatest pseudo-likelihood, less `shrink` / 2 times their squares, by gradient steps of adapted size.
+    rows: features, label, whether a rule gave it, the mention before, and the similar one before (-1: none)."""
     k = len(LABELS)
-    x, y = np.zeros((len(rows), N_FEATURES)), np.array([r["label"] for r in rows], np.int64)
-    for i, r in enumerate(rows):
-        x[i, r["features"]] = 1
-    weight = np.where([r["known"] for r in rows], 1.0, unlabelled) if rows else np.zeros(0)
-    unary = np.zeros((N_FEATURES, k))
-    unary[0, 0] = 2.0  # without examples a mention is O
-    for _ in range(300 if rows else 0):
-        gap = (np.eye(k)[y] - soft(x @ unary)) * weight[:, None]
-        unary += 2.0 * (x.T @ gap / weight.sum() - 1e-3 * unary)
-    share = (np.bincount(y, weight, k) + 1) / (weight.sum() + k)
-    chance = np.outer(share, share)
-    at = {(r["doc"], r["place"]): (r["label"], w) for r, w in zip(rows, weight)}
-
-    def ratio(pairs: list[tuple[tuple, tuple]], prior: np.ndarray) -> np.ndarray:
-        count = prior.copy()
-        for (a, v), (b, w) in pairs:
-            count[a, b] += v * w
-        count = count + count.T
-        return np.log(count / count.sum() / chance)
-
-    chain = ratio([(at[r["doc"], r["place"] - 1], at[r["doc"], r["place"]]) for r in rows if r["place"] > 0], 10 * chance)
-    # as if 50 links had been seen, of which similar mentions agree in all but one
-    agree = 50 * (0.98 * np.diag(share) + 0.02 * chance)
-    skip = ratio([(at[r["doc"], r["link"]], at[r["doc"], r["place"]]) for r in rows if r["link"] >= 0], agree)
-    return Field(unary, chain, skip)
+    weights = [np.zeros((N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))]
+    weights[0][0, 0] = 2.0  # without examples a mention is O
+    sample = Sample(rows, unlabelled)
+    slope, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    for t in range(1, rounds + 1 if rows else 1):
+        found = sample.likelihood(Field(*weights))[1]
+        for w, g, m, v in zip(weights, (found.unary, found.chain, found.skip), slope, square):
+            g = g - shrink * w
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return Field(*weights)
 
 
 def written(spans: list[Span]) -> str:
