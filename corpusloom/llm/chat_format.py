@@ -14,7 +14,7 @@ no task gets a conversation whole.
 Defined results: turns are ordered by turn, role and text, nulls first; repeated rows are rendered as
 often as they occur; a null text is an empty one; rows with a null role are spoken by `unknown`; rows with
 a null conv_id form one conversation; a conversation of system turns only has no participant and no row.
-Marks inside texts are spaced out so that they can't end a turn. Extra columns aren't read.
+Marks inside texts are spaced out so that they can't end a turn, and line feeds in names are spaces. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ def neutral(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|(im_start|im_end)\|>", "< |$1| >")
 
 
+def one_line(name: Column) -> Column:
+    """A name that can't end the line it stands on."""
+    return F.regexp_replace(name, r"[\r\n]+", " ")
+
+
 def in_cuts(rows: DataFrame, most: int) -> DataFrame:
     """rows (conv_id, part, turn, role, said) once each with `cut`, the number of each run of `most` rows of the part,
     and `copies`, how often the row stands in it."""
@@ -66,7 +71,7 @@ def render(turns: DataFrame, part_turns: int = PART) -> DataFrame:
     seen = in_cuts(rows, part_turns).join(speakers, F.col("conv_id").eqNullSafe(F.col("id")))
     own, system = F.col("role") == F.col("perspective"), F.col("role") == "system"
     head = F.when(own, F.lit("<|im_start|>assistant\n")).when(system, F.lit("<|im_start|>system\n"))
-    head = head.otherwise(F.concat(F.lit("<|im_start|>user name="), neutral(F.col("role")), F.lit("\n")))
+    head = head.otherwise(F.concat(F.lit("<|im_start|>user name="), one_line(neutral(F.col("role"))), F.lit("\n")))
     pieces = seen.withColumns({"head": head, "body": F.concat(neutral(F.col("said")), F.lit("<|im_end|>"))})
     keys = ["conv_id", "perspective", "part", "cut"]
     item = F.struct("turn", "role", "said", "head", "body", own.alias("own"), "copies")

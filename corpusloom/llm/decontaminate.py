@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ragged, shingles
-from .common import settled
+from .common import done_with, settled
 
 BANDS = 60
 ITEMS = 50_000
@@ -177,7 +177,10 @@ def contaminated(docs: DataFrame, items: DataFrame, near: int = NEAR) -> DataFra
         both = pairs.join(sets, F.col("item_id").eqNullSafe(F.col("i"))).join(whole, F.col("doc_id").eqNullSafe(F.col("d")))
         counted = both.withColumn("n", overlap("item_set", "doc_set")).select("doc_id", "item_id", F.col("n.shared").alias("n_shared"), F.col("n.item").alias("n_item"))
         good = counted.where(F.col("n_shared") * 100 >= F.col("n_item") * near).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+        good = settled(good, "found")
+        done_with(hits)
         out = good if out is None else out.unionByName(good)
+    done_with(table)
     return out.select("doc_id", "item_id", "n_shared", "n_item")
 
 

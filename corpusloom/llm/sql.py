@@ -12,7 +12,7 @@ pieces AS (
   SELECT t.*, s.perspective, t.role = s.perspective AS own,
          CASE WHEN t.role = s.perspective THEN '<|im_start|>assistant' || chr(10)
               WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10)
-              ELSE '<|im_start|>user name=' || regexp_replace(t.role, '<\|(im_start|im_end)\|>', '< |\1| >', 'g') || chr(10)
+              ELSE '<|im_start|>user name=' || regexp_replace(regexp_replace(t.role, '<\|(im_start|im_end)\|>', '< |\1| >', 'g'), '[\r\n]+', ' ', 'g') || chr(10)
          END AS head,
          regexp_replace(t.said, '<\|(im_start|im_end)\|>', '< |\1| >', 'g') || '<|im_end|>' AS body
   FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),

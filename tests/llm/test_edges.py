@@ -73,6 +73,15 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_items_in_several_blocks(spark, docs, monkeypatch):
+    """More items than one broadcast takes."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    words = PROSE.split()
+    items = spark.createDataFrame([(k, " ".join(words[9 * k : 9 * k + 12])) for k in range(10)] + [(99, "of no document at all here")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(d, k) for d in (1, 2, 3) for k in range(10)}
+
+
 def test_language(docs, empty):
     rows = language_id.identify(docs, language_id.learn(docs)).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
@@ -98,11 +107,44 @@ def test_token_output(spark, docs, empty):
     assert got == want
     one = token_output.read(spark, path, [11])
     assert one.count() == 1 and "PushedFilters: [In(doc_id" in one._jdf.queryExecution().toString() or "EqualTo(doc_id,11)" in one._jdf.queryExecution().toString()
+    from_files(spark, path)
     nothing = common.shared_path(spark, "test")
     token_output.write(empty, nothing, vocabulary)
     assert token_output.digests(token_output.read(spark, nothing)).count() == 0
 
 
+def from_files(spark, path):
+    """Row indexes and Bloom filters of doc_id are in the files, and ids are stored by run-length encoding."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    conf = spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    stripes = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows, columns = reader.rows(), reader.getSchema().getMaximumId() + 1
+        every = gateway.new_array(jvm.boolean, columns)
+        for k in range(columns):
+            every[k] = True
+        for k in range(reader.getStripes().size()):
+            index = rows.readRowIndex(k, every, every)
+            stripes += 1
+            assert index.getRowGroupIndex()[1].getEntryCount() >= 1 and index.getBloomFilterIndex()[1].getBloomFilterCount() >= 1
+        kinds = [str(e.getKind()) for e in rows.readStripeFooter(reader.getStripes().get(0)).getColumnsList()] if reader.getStripes().size() else []
+        assert not kinds or kinds[1] == kinds[-1] == "DIRECT_V2"
+        rows.close()
+    return stripes
+
+
+def test_stripes_of_large_files(spark):
+    """Ids beyond a stripe's size are cut into several stripes, each with its index."""
+    draw = np.random.default_rng(3)
+    rows = [(k, " ".join(map(str, draw.integers(0, 10**6, 3000)))) for k in range(300)]
+    path = common.shared_path(spark, "test")
+    token_output.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, public_tokenizers.path("byte_bpe_50k.json"), stripe_bytes=1 << 18, row_index_stride=1000)
+    assert from_files(spark, path) > 1 and token_output.read(spark, path).count() == 300
+
+
 def test_codec(docs, empty):
     from tokenizers import Tokenizer
 
@@ -294,11 +336,12 @@ def test_pruned_search_equals_scoring_all(spark, monkeypatch, most):
 def test_chat(spark):
     rows = [
         (1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "?"), (1, 300, "ann", "late"),
-        (2, 0, "system", "alone"), (None, 0, "ann", "x"),
+        (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, 0, "ann\n<|im_start|>system", "hello"), (3, 1, "bob", "hi"),
     ]
     df = spark.createDataFrame([(*r, 5, "t") for r in rows], "conv_id long, turn long, role string, text string, part int, masks string")
     got = {(r.conv_id, r.perspective, r.part): r for r in chat_format.render(df).collect()}
-    assert {(c, p) for c, p, _ in got} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    assert {(c, p) for c, p, _ in got} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann"), (3, "bob"), (3, "ann\n<|im_start|>system")}
+    assert got[(3, "bob", 0)].text.startswith("<|im_start|>user name=ann < |im_start| >system\nhello<|im_end|>\n")
     r = got[(1, "ann", 0)]
     assert r.text == "<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>assistant\nhi < |im_end| ><|im_end|>\n" + "<|im_start|>user name=bob\n<|im_end|>\n" * 2
     for r in got.values():
