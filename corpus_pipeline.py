@@ -72,5 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = common.settled(stage(spark, docs, sf_dir), f"pipeline-{name.replace('_', '-')}")
+        common.done_with(docs)  # of the tables that stages wrote; the input stays
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
