@@ -24,13 +24,14 @@ SUSPICIOUS = [
 ]
 
 # Words that carry no content.
-STOPWORDS = (
-    "a an the and or but if then else of to in on at by for with from into onto about as is are was were be been "
-    "being do does did doing have has had having i me my we our you your he she it its they them their this that "
-    "these those what which who whom whose when where why how all any both each few more most other some such no "
-    "nor not only own same so than too very can will just should would could may might must shall s t don now also "
-    "per there here up down out over under again further once us via vs get got please tell know"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "of", "to", "in", "on", "at", "by", "for", "with", "from", "into", "onto", "about", "as",
+    "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "doing", "have", "has", "had", "having", "i", "me", "my", "we", "our", "you",
+    "your", "he", "she", "it", "its", "they", "them", "their", "this", "that", "these", "those", "what", "which", "who", "whom", "whose", "when", "where",
+    "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "can", "will", "just", "should", "would", "could", "may", "might", "must", "shall", "s", "t", "don", "now", "also", "per", "there",
+    "here", "up", "down", "out", "over", "under", "again", "further", "once", "us", "via", "vs", "get", "got", "please", "tell", "know"
+]
 
 
 def tokens(text: Column) -> Column:
@@ -162,9 +163,51 @@ def content_identity(document: Column, profile: str, max_tokens: int, prefix: bo
     return F.sha2(F.concat_ws("|", document, F.lit(f"{profile}:{max_tokens}:{prefix}"), F.lit(model)), 256)
 
 
-def highlight(text: Column, terms: Column, most: int = 300) -> Column:
-    """The first `most` characters around the first term, the terms marked, longest first."""
-    words = F.array_sort(terms, lambda a, b: F.length(b) - F.length(a))
-    pattern = F.concat(F.lit(r"(?i)\b("), F.array_join(words, "|"), F.lit(r")\b"))
-    shown = F.substring(text, 1, most)
-    return F.when(F.size(terms) == 0, shown).otherwise(F.regexp_replace(shown, pattern, F.lit("<mark>$1</mark>")))
+def like_free(text: Column) -> Column:
+    """A search text without the wildcards of LIKE."""
+    return F.regexp_replace(text, r"[%_]", "")
+
+
+def is_safe_model(name: Column) -> Column:
+    """Whether a model's name may become part of another name: letters, digits and . _ / - only."""
+    return name.rlike(r"^[A-Za-z0-9._/-]+$")
+
+
+def cursor(*parts: Column) -> Column:
+    """A listing position as text for an address: base64 with - and _ of a JSON array, without padding."""
+    encoded = F.base64(F.encode(F.to_json(F.array(*(p.cast("string") for p in parts))), "UTF-8"))
+    return F.regexp_replace(F.translate(encoded, "+/", "-_"), "[=\r\n]", "")
+
+
+def from_cursor(text: Column) -> Column:
+    """The position (array of strings) that cursor() encoded; null if the text isn't one."""
+    padded = F.rpad(F.translate(text, "-_", "+/"), (F.ceil(F.length(text) / 4) * 4).cast("int"), F.lit("="))
+    whole = text.rlike("^[A-Za-z0-9_-]+$")
+    return F.from_json(F.try_validate_utf8(F.try_to_binary(F.when(whole, padded), F.lit("base64")).cast("string")), "array<string>")
+
+
+# Words of a fragment before and in all, and the number of fragments.
+LEAD, WORDS, FRAGMENTS, SHOWN = 10, 60, 2, 300
+
+
+def quoted(term: Column) -> Column:
+    """A pattern for just these signs."""
+    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def highlight(text: Column, terms: Column) -> Column:
+    """Up to two fragments of 60 words around the first terms in a text, joined by dots, the terms marked, longest
+    first; without a term in it the first 300 signs."""
+    longest = F.array_sort(F.filter(terms, lambda t: t != ""), lambda a, b: F.length(b) - F.length(a))
+    alternatives = F.array_join(F.transform(longest, quoted), "|")
+    pattern = F.concat(F.lit("(?i)(?<!\\w)("), alternatives, F.lit(")(?!\\w)"))
+    marked = F.regexp_replace(text, pattern, F.lit("<mark>$1</mark>"))
+    words = filled(F.split(marked, r"\s+"))
+    at = F.filter(F.transform(words, lambda w, k: F.when(w.contains("<mark>"), k)), lambda k: k.isNotNull())
+    begin = lambda k: F.greatest(k - LEAD, F.lit(0))
+    first = begin(F.get(at, F.lit(0)))
+    second = F.get(F.filter(at, lambda k: k >= first + WORDS), F.lit(0))
+    cut = lambda k: F.array_join(F.slice(words, k + 1, WORDS), " ")
+    one = cut(first)
+    two = F.when(second.isNotNull(), F.concat(one, F.lit(" ... "), cut(F.greatest(begin(second), first + WORDS)))).otherwise(one)
+    return F.when((F.size(longest) == 0) | (F.size(at) == 0), F.substring(text, 1, SHOWN)).otherwise(two)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def rounded(x: Column, places: int) -> Column:
-    """Half up; the nudge keeps sums that differ in their last bits from rounding apart."""
-    return F.round(x + 1e-9, places)
+    """Half up, of the value as a decimal of six places: what lies below is noise of the order of summation."""
+    return F.round(x.cast("decimal(18,6)"), places).cast("double")
 
 
 def in_window(at: Column, start: Column, end: Column) -> Column:
@@ -19,7 +19,7 @@ def in_window(at: Column, start: Column, end: Column) -> Column:
 def overview(logs: DataFrame) -> DataFrame:
     """One row: questions, users, outcomes, costs, latency percentiles and derived ratios."""
     n, refused = F.count(F.lit(1)), F.count_if(F.col("outcome") == "no_answer")
-    cost = F.coalesce(F.sum("cost_usd"), F.lit(0.0))
+    cost = F.coalesce(F.sum("cost_usd"), F.lit(0))
     ratio = lambda x, places: F.when(n > 0, rounded(x / n, places)).otherwise(0.0)
     at = lambda q, key: rounded(F.percentile(F.col("timings_ms")[key], q), 2)
     return logs.agg(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from . import analytics_queries, document_queries, ingest_queries, search_queries, text_queries
+    from . import analytics_queries, document_queries, ingest_queries, search_queries, service_queries, text_queries
 
-    return [text_queries, search_queries, analytics_queries, ingest_queries, document_queries]
+    return [text_queries, search_queries, analytics_queries, ingest_queries, document_queries, service_queries]
 
 
 def queries() -> dict:

@@ -37,9 +37,9 @@ def r1_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {D.LOGS_SQL}
 SELECT count(*) AS questions, count(DISTINCT user_sub) AS users, count(*) FILTER (outcome = 'answered') AS answered, count(*) FILTER (outcome = 'no_answer') AS no_answer,
-  count(*) FILTER (outcome = 'error') AS errors, round(count(*) FILTER (outcome = 'no_answer') / count(*) + 1e-9, 4) AS no_answer_rate, round(sum(cost_usd) + 1e-9, 4) AS cost_usd,
-  round(sum(cost_usd) / count(*) + 1e-9, 6) AS cost_per_question, round(quantile_cont(total, 0.5) + 1e-9, 2) AS p50_total, round(quantile_cont(total, 0.95) + 1e-9, 2) AS p95_total,
-  round(quantile_cont(first_token, 0.5) + 1e-9, 2) AS p50_first_token, round(quantile_cont(first_token, 0.95) + 1e-9, 2) AS p95_first_token FROM logs
+  count(*) FILTER (outcome = 'error') AS errors, CAST(round(CAST(count(*) FILTER (outcome = 'no_answer') / count(*) AS DECIMAL(18,6)), 4) AS DOUBLE) AS no_answer_rate, CAST(round(CAST(sum(cost_usd) AS DECIMAL(18,6)), 4) AS DOUBLE) AS cost_usd,
+  CAST(round(CAST(sum(cost_usd) / count(*) AS DECIMAL(18,6)), 6) AS DOUBLE) AS cost_per_question, CAST(round(CAST(quantile_cont(total, 0.5) AS DECIMAL(18,6)), 2) AS DOUBLE) AS p50_total, CAST(round(CAST(quantile_cont(total, 0.95) AS DECIMAL(18,6)), 2) AS DOUBLE) AS p95_total,
+  CAST(round(CAST(quantile_cont(first_token, 0.5) AS DECIMAL(18,6)), 2) AS DOUBLE) AS p50_first_token, CAST(round(CAST(quantile_cont(first_token, 0.95) AS DECIMAL(18,6)), 2) AS DOUBLE) AS p95_first_token FROM logs
 """)
 def r2_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.overview(D.logs(spark, sf_dir))
@@ -53,7 +53,7 @@ def r3_feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {D.LOGS_SQL}
 SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS questions, count(DISTINCT user_sub) AS users, count(*) FILTER (outcome = 'no_answer') AS no_answer,
-  round(quantile_cont(total, 0.95) + 1e-9, 2) AS p95_total, round(sum(cost_usd) + 1e-9, 4) AS cost_usd FROM logs GROUP BY 1
+  CAST(round(CAST(quantile_cont(total, 0.95) AS DECIMAL(18,6)), 2) AS DOUBLE) AS p95_total, CAST(round(CAST(sum(cost_usd) AS DECIMAL(18,6)), 4) AS DOUBLE) AS cost_usd FROM logs GROUP BY 1
 """)
 def r4_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.daily(D.logs(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
@@ -61,7 +61,7 @@ def r4_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {D.LOGS_SQL}, steps AS (SELECT 'total' AS step, total AS ms FROM logs UNION ALL SELECT 'first_token', first_token FROM logs)
-SELECT step, count(*) AS n, round(quantile_cont(ms, 0.5) + 1e-9, 2) AS p50, round(quantile_cont(ms, 0.95) + 1e-9, 2) AS p95 FROM steps GROUP BY step
+SELECT step, count(*) AS n, CAST(round(CAST(quantile_cont(ms, 0.5) AS DECIMAL(18,6)), 2) AS DOUBLE) AS p50, CAST(round(CAST(quantile_cont(ms, 0.95) AS DECIMAL(18,6)), 2) AS DOUBLE) AS p95 FROM steps GROUP BY step
 """)
 def r5_step_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.steps(D.logs(spark, sf_dir))
@@ -125,12 +125,6 @@ def r20_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.latest(e, ["user_id", "event_type"], [F.desc("at"), F.desc("event_id")]).select(F.col("user_id").alias("user_sub"), "event_type", "value", "at")
 
 
-@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AND source <> 'src0'")
-def r24_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = D.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return D.table(spark, sf_dir, "documents").where("source <> 'src0'").join(gone, "doc_id", "left_anti").select("doc_id", "source")
-
-
 @query("""
 WITH t AS (SELECT conv_id, turn, role || ': ' || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 600) AS line,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role <> 'system')
@@ -246,19 +240,3 @@ def e22_previous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.previous_run(runs, "recall").select("run_id", "previous", "delta")
 
 
-@query("SELECT doc_id, quality = toxic AS correct FROM labels")
-def e9_no_answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == F.col("toxic")).alias("correct"))
-
-
-@query("""
-WITH x AS (SELECT o_orderkey, o_custkey % 3 AS model, sum(l_quantity)::DOUBLE AS tokens_in, count(*) AS tokens_out FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
-price(model, i, o) AS (VALUES (0, 0.25, 1.25), (1, 3.0, 15.0))
-SELECT o_orderkey, round(coalesce((tokens_in * i + tokens_out * o) / 1e6, 0), 8) AS cost FROM x LEFT JOIN price USING (model)
-""")
-def g6_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = D.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("model"))
-    used = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("tokens_in"), F.count(F.lit(1)).alias("tokens_out"))
-    price = spark.createDataFrame([(0, 0.25, 1.25), (1, 3.0, 15.0)], "model long, i double, o double")
-    cost = (F.col("tokens_in") * F.col("i") + F.col("tokens_out") * F.col("o")) / 1e6
-    return o.join(used, "o_orderkey").join(F.broadcast(price), "model", "left").select("o_orderkey", F.round(F.coalesce(cost, F.lit(0.0)), 8).alias("cost"))

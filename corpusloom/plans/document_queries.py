@@ -38,7 +38,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = f"""{D.CHUNKS_SQL},
 lines AS (SELECT document_id AS doc_id, ordinal, CASE WHEN ordinal % 9 = 0 THEN 18.0 WHEN ordinal % 7 = 0 THEN 14.0 WHEN ordinal % 5 = 0 THEN 12.0 ELSE 10.0 END AS size,
-                 left(text, 150) AS text, ordinal // 30 + 1 AS page FROM chunks)"""
+                 text, ordinal // 30 + 1 AS page FROM chunks)"""
 
 
 @query(f"""
@@ -61,33 +61,6 @@ def s12_dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "benchmark").select("item_id", documents.dehyphenated(F.split("text", "(?<=e)")).alias("out"))
 
 
-@query("SELECT page_id, 'text/html' AS mime, NULL::VARCHAR AS refusal FROM pages")
-def s1_mime_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mime = parsers.mime_type(F.lit("a/page"), F.encode("html", "UTF-8"))
-    return D.table(spark, sf_dir, "pages").select("page_id", mime.alias("mime"), parsers.refusal(mime).alias("refusal"))
-
-
-@query("""
-SELECT event_id, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 60, false) AS too_soon FROM events
-""")
-def s19_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
-    before = F.lag("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
-    return e.select("event_id", F.coalesce(F.col("at") - before < 60, F.lit(False)).alias("too_soon"))
-
-
-@query("SELECT count(*) AS n, 'golden-' || count(*) || 'q-' || left(sha256(string_agg(text, chr(10) ORDER BY item_id)), 10) AS version FROM benchmark")
-def s26_dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n")
-    b = D.table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n"), F.sha2(whole, 256).alias("sha"))
-    return b.select("n", F.concat(F.lit("golden-"), "n", F.lit("q-"), F.substring("sha", 1, 10)).alias("version"))
-
-
-@query("SELECT doc_id, base64(encode('{\"id\":' || doc_id || '}')) AS cursor FROM documents")
-def t25_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.base64(F.encode(F.to_json(F.struct(F.col("doc_id").alias("id"))), "UTF-8")).alias("cursor"))
-
-
 @query()
 def t1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("string")
@@ -97,12 +70,6 @@ def t1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", each("text").alias("out"))
 
 
-@query()
-def t19_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.array(F.regexp_extract("question", "[A-Za-z]+", 0))
-    return D.questions(spark, sf_dir).select("query_id", T.highlight(F.col("question"), first).alias("out"))
-
-
 @query("""
 SELECT user_id AS doc_id, CASE WHEN bool_or(event_type = 'error' AND value > 140) THEN 'deleted' ELSE arg_max(CASE WHEN event_type = 'error' AND value > 140 THEN 'deleted' ELSE event_type END, (ts, event_id)) END AS status
 FROM events GROUP BY 1
@@ -113,32 +80,6 @@ def i9_document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.status_now(e.select(F.col("user_id").alias("doc_id"), status.alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("id")))
 
 
-@query("SELECT user_id AS doc_id, arg_max(event_id, (ts, event_id)) AS job FROM events GROUP BY 1")
-def i7_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("job"))
-
-
-@query("""
-SELECT count(*) FILTER (event_type = 'view' AND ts < m - INTERVAL 1 DAY) AS staged_gone, count(*) FILTER (event_type = 'error' AND ts < m - INTERVAL 2 HOUR) AS jobs_failed
-FROM events, (SELECT max(ts) AS m FROM events)
-""")
-def i11_stale_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("m"))
-    old = lambda kind, age: F.count_if((F.col("event_type") == kind) & (F.col("ts") < F.col("m") - F.expr(f"INTERVAL {age}")))
-    return e.join(F.broadcast(now), F.lit(True)).agg(old("view", "1 DAY").alias("staged_gone"), old("error", "2 HOURS").alias("jobs_failed"))
-
-
-@query(f"""
-WITH {D.READABLE_SQL}, {D.CHUNKS_SQL}, {D.QUESTIONS_SQL}
-SELECT count(*) AS leaks FROM (SELECT 1 WHERE false)
-""")
-def e6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates outside the collections of those who asked: none."""
-    found = lexical(spark, sf_dir).join(D.questions(spark, sf_dir).select("query_id", "sub"), "query_id").join(D.chunks(spark, sf_dir).select("chunk_id", "collection_id"), "chunk_id")
-    return found.join(readable(spark).select("sub", "collection_id"), ["sub", "collection_id"], "left_anti").agg(F.count(F.lit(1)).alias("leaks"))
-
-
 @query(f"""
 WITH {LEXICAL_SQL}
 SELECT l.query_id, l.rank::INTEGER AS rank, l.chunk_id, left(c.text, 1200) AS snippet, round(score, 6) AS score FROM lexical l JOIN chunks c USING (chunk_id) WHERE l.rank <= 5
@@ -168,28 +109,6 @@ def g3_source_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", documents.source_block(s).alias("block"))
 
 
-@query("""
-SELECT event_id, CASE WHEN value < 20 THEN 'no_access' WHEN value < 60 THEN 'low_relevance' WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' THEN 'stopped' ELSE 'complete' END AS outcome FROM events
-""")
-def g15_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, v = F.col("event_type"), F.col("value")
-    out = F.when(v < 20, "no_access").when(v < 60, "low_relevance").when(e == "error", "error").when(e == "view", "stopped").otherwise("complete")
-    return D.table(spark, sf_dir, "events").select("event_id", out.alias("outcome"))
-
-
-@query("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all('see [' || (doc_id % 7) || '] and [2][' || (doc_id % 3) || ']', '\\[(\\d+)\\]', 1), lambda x: x::INTEGER))) AS cited FROM documents")
-def g13_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("see ["), F.col("doc_id") % 7, F.lit("] and [2]["), F.col("doc_id") % 3, F.lit("]"))
-    found = F.transform(F.regexp_extract_all(said, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(found)).alias("cited"))
-
-
-@query(f"SELECT doc_id, list_filter(string_split(regexp_replace(left(text, 3000), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda s: regexp_matches(s, '[0-9]')) AS claims FROM documents")
-def g12_numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = T.loose_sentences(F.col("text"))
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.filter(parts, lambda s: s.rlike("[0-9]")).alias("claims"))
-
-
 @query(f"""
 WITH {FUSED_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 20)
 SELECT query_id, list(chunk_id ORDER BY rank) AS trace, count(*) FILTER (rank <= 8) AS selected FROM f GROUP BY 1
@@ -222,50 +141,6 @@ def r12_collections_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.page(c, [F.col("name")], F.col("name") > "src1", 2)
 
 
-@query("""
-SELECT c.conv_id, c.turn, c.role, l.quality AS rating FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id AND c.role = 'assistant' WHERE c.turn > 0
-""")
-def r19_messages_with_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, f = D.table(spark, sf_dir, "conversations").where("turn > 0"), D.table(spark, sf_dir, "labels")
-    return m.join(f, (f["doc_id"] == m["conv_id"]) & (m["role"] == "assistant"), "left").select("conv_id", "turn", "role", F.col("quality").alias("rating"))
-
-
-@query("""
-WITH a AS (SELECT doc_id, lang AS old_lang, source FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, upper(lang) AS new_lang FROM documents WHERE doc_id % 3 = 0)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(new_lang, old_lang) AS lang, source FROM a FULL JOIN b ON a.doc_id = b.doc_id
-""")
-def r28_registration_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.table(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 2 = 0").select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("old"))
-    new = docs.where("doc_id % 3 = 0").select("doc_id", F.create_map(F.lit("lang"), F.upper("lang")).alias("new"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    before, after = F.coalesce("old", none), F.coalesce("new", none)
-    merged = F.map_concat(F.map_filter(before, lambda k, _: ~F.map_contains_key(after, k)), after)
-    return old.join(new, "doc_id", "full_outer").select("doc_id", merged["lang"].alias("lang"), merged["source"].alias("source"))
-
-
-@query("SELECT count(*) FILTER (toxic = 1) = 0 AS no_leak, round(avg(quality), 4) >= 0.85 AS good_recall FROM labels")
-def e20_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "labels").agg((F.count_if(F.col("toxic") == 1) == 0).alias("no_leak"), (F.round(F.avg("quality"), 4) >= 0.85).alias("good_recall"))
-
-
-@query("SELECT lang, round(avg(CASE WHEN source = 'src1' THEN n_chars END), 4) AS src1, round(avg(CASE WHEN source = 'src2' THEN n_chars END), 4) AS src2 FROM documents GROUP BY 1")
-def e23_experiment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src1", "src2"]).agg(F.round(F.avg("n_chars"), 4))
-
-
-@query("SELECT doc_id, quality = toxic AND abs(quality - toxic) <= 0.1 AS agree FROM labels")
-def e15_judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (D.table(spark, sf_dir, "labels").select("doc_id", F.col(c).alias(c)) for c in ("quality", "toxic"))
-    return a.join(b, "doc_id").select("doc_id", ((F.col("quality") == F.col("toxic")) & (F.abs(F.col("quality") - F.col("toxic")) <= 0.1)).alias("agree"))
-
-
-@query("SELECT doc_id, NOT (contains(lower(text), 'token =') OR contains(lower(text), 'password')) AS resisted FROM documents")
-def e17_injection_resisted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forbidden = F.array(F.lit("TOKEN ="), F.lit("password"))
-    return D.table(spark, sf_dir, "documents").select("doc_id", (~F.exists(forbidden, lambda f: F.lower("text").contains(F.lower(f)))).alias("resisted"))
-
-
 @query()
 def e11_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", answers.claims(F.col("text")).alias("claims"))
@@ -276,12 +151,6 @@ def x1_highlight_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", documents.highlight_phrase(F.col("text")).alias("phrase"))
 
 
-@query("SELECT DISTINCT event_type, coalesce(list_position(['view', 'click', 'purchase'], event_type), 99)::INTEGER AS place FROM events")
-def x6_step_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.array_position(F.array(*map(F.lit, ("view", "click", "purchase"))), F.col("event_type")).cast("int")
-    return D.table(spark, sf_dir, "events").select("event_type", F.when(place == 0, 99).otherwise(place).alias("place")).distinct()
-
-
 EDGES = [10.0, 50.0, 100.0, 200.0, 1e9]
 
 

@@ -36,20 +36,22 @@ def collections(spark: SparkSession) -> DataFrame:
     return spark.range(N_COLLECTIONS).select(F.concat(F.lit("src"), "id").alias("collection_id"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, document_id, collection_id, ordinal, text: the non-empty lines of each document."""
+def chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """chunk_id, document_id, collection_id, ordinal, text: the non-empty lines of each document, or of those with a
+    doc_id in `of`."""
     docs = table(spark, sf_dir, "documents")
+    docs = docs if of is None else docs.join(of, "doc_id", "left_semi")
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where("trim(text) <> ''")
     chunk_id = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"))
     return lines.select(chunk_id.alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("collection_id"), "ordinal", "text")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, sub, question: the first line of each benchmark item, asked by the users in turn."""
+    """query_id, sub, question: the benchmark items, asked by the users in turn."""
     users = F.array(*(F.lit(p[0]) for p in PRINCIPALS))
     items = table(spark, sf_dir, "benchmark")
     return items.select(
-        F.col("item_id").alias("query_id"), F.element_at(users, (F.col("item_id") % USERS + 1).cast("int")).alias("sub"), F.split("text", "\n")[0].alias("question")
+        F.col("item_id").alias("query_id"), F.element_at(users, (F.col("item_id") % USERS + 1).cast("int")).alias("sub"), F.col("text").alias("question")
     )
 
 
@@ -58,7 +60,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     outcome = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "no_answer").otherwise("answered")
     timings = F.map_from_arrays(F.array(F.lit("total"), F.lit("first_token")), F.array(F.col("value"), F.col("value") * 0.4))
-    cost = F.round(F.col("value") / 1000, 6)
+    cost = F.round(F.col("value") / 1000, 6).cast("decimal(10,6)")
     return e.select("event_id", F.col("user_id").alias("user_sub"), outcome.alias("outcome"), timings.alias("timings_ms"), cost.alias("cost_usd"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
@@ -90,7 +92,7 @@ CHUNKS_SQL = """chunks AS (
   WHERE trim(text) <> '')"""
 USERS_SQL = "[" + ", ".join(f"'{p[0]}'" for p in PRINCIPALS) + "]"
 QUESTIONS_SQL = f"""questions AS (
-  SELECT item_id AS query_id, {USERS_SQL}[item_id % {USERS} + 1] AS sub, string_split(text, chr(10))[1] AS question FROM benchmark)"""
+  SELECT item_id AS query_id, {USERS_SQL}[item_id % {USERS} + 1] AS sub, text AS question FROM benchmark)"""
 LOGS_SQL = """logs AS (
   SELECT event_id, user_id AS user_sub, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'no_answer' ELSE 'answered' END AS outcome,
-         value AS total, value * 0.4 AS first_token, round(value / 1000, 6) AS cost_usd, ts AS created_at FROM events)"""
+         value AS total, value * 0.4 AS first_token, CAST(round(value / 1000, 6) AS DECIMAL(10,6)) AS cost_usd, ts AS created_at FROM events)"""

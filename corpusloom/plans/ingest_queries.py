@@ -148,7 +148,7 @@ def s23_sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {D.CHUNKS_SQL},
-l AS (SELECT document_id AS doc_id, ordinal // 4 AS page, ordinal % 4 AS y, regexp_replace(lower(trim(left(text, 6))), '[0-9]+', '#', 'g') AS sig, left(text, 6) AS text, ordinal FROM chunks),
+l AS (SELECT document_id AS doc_id, ordinal // 4 AS page, ordinal % 4 AS y, regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g') AS sig, text, ordinal FROM chunks),
 p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1),
 o AS (SELECT doc_id, sig, count(DISTINCT page) AS n FROM l WHERE y < 0.48 OR y > 3.52 GROUP BY ALL)
 SELECT doc_id, ordinal::INTEGER AS ordinal, text FROM l WHERE NOT ((y < 0.48 OR y > 3.52) AND EXISTS (
@@ -161,12 +161,6 @@ def s10_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.running_lines(l).select("doc_id", "ordinal", "text")
 
 
-@query("SELECT item_id, [text, 'x'] AS parts FROM (SELECT item_id, text FROM benchmark)")
-def s27_page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat("text", F.lit("<<<PAGE>>>x"))
-    return D.table(spark, sf_dir, "benchmark").select("item_id", F.split(marked, "<<<PAGE>>>").alias("parts"))
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, question, n, source: each question with the texts of documents of its own number."""
     q = D.questions(spark, sf_dir).select("query_id", "question")

@@ -104,7 +104,7 @@ lexical AS (
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.lexical(D.questions(spark, sf_dir), retrieval.postings(D.chunks(spark, sf_dir)), readable(spark))
+    return retrieval.lexical(D.questions(spark, sf_dir), D.chunks(spark, sf_dir), readable(spark))
 
 
 @query(f"WITH {LEXICAL_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lexical")
@@ -137,25 +137,52 @@ def v1_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector(vector_questions(spark, sf_dir), vectors(spark, sf_dir), readable(spark)).withColumn("score", F.round("score", 6))
 
 
-FUSED_SQL = f"""{VECTOR_SQL},
-other AS (SELECT query_id, chunk_id, 1.0 / (1 + abs(hash_)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY hash_, chunk_id) AS rank
-          FROM (SELECT query_id, v.chunk_id, (v.chunk_id * 7919 + query_id) % 1009 AS hash_ FROM q JOIN v ON v.model = q.model) QUALIFY rank <= 40),
-fused AS (
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have an embedding, as chunks: chunk_id, document_id, collection_id, text, model, embedding."""
+    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("collection_id"), "text")
+    v = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 2).alias("model"), "embedding")
+    return docs.join(v, "chunk_id")
+
+
+def passage_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth passage asks for what is like it: query_id, sub, question, model, embedding."""
+    users = F.array(*(F.lit(p[0]) for p in D.PRINCIPALS))
+    p = passages(spark, sf_dir).where("chunk_id % 50 = 0")
+    return p.select(F.col("chunk_id").alias("query_id"), F.element_at(users, (F.col("chunk_id") / 50 % D.USERS + 1).cast("int")).alias("sub"), F.col("text").alias("question"), "model", "embedding")
+
+
+LISTS_SQL = f"""{D.READABLE_SQL},
+p AS (SELECT doc_id AS chunk_id, source AS collection_id, text, label % 2 AS model, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+q AS (SELECT chunk_id AS query_id, {D.USERS_SQL}[CAST(floor(chunk_id / 50) AS BIGINT) % {D.USERS} + 1] AS sub, text AS question, model, e FROM p WHERE chunk_id % 50 = 0),
+by_vector AS (
+  SELECT query_id, chunk_id, list_cosine_similarity(q.e, p.e) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.e, p.e) DESC, chunk_id) AS rank
+  FROM q JOIN readable r USING (sub) JOIN p ON p.model = q.model AND p.collection_id = r.collection_id QUALIFY rank <= 40),
+postings AS (SELECT chunk_id, collection_id, term, count(*) AS n FROM (SELECT chunk_id, collection_id, unnest({S.content_terms("text")}) AS term FROM p) GROUP BY ALL),
+asked AS (SELECT query_id, sub, unnest(list_distinct(list_transform({TERMS_SQL}, lambda t: {S.stem("t")}))) AS term FROM q),
+hits AS (
+  SELECT query_id, chunk_id, sum(n) AS n FROM asked JOIN postings USING (term)
+  WHERE (sub, collection_id) IN (SELECT (sub, collection_id) FROM readable) GROUP BY ALL),
+by_terms AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 40)"""
+
+
+def fused_sql(a: str = "by_vector", b: str = "by_terms", name: str = "fused") -> str:
+    return f"""{name} AS (
   SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS vector_rank, b.rank AS lexical_rank,
          coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS rrf
-  FROM vector a FULL JOIN other b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
+  FROM {a} a FULL JOIN {b} b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
+
+
+FUSED_SQL = f"{LISTS_SQL}, {fused_sql()}"
 
 
-def other_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second ranked list over the same vectors, for fusion."""
-    q, v = vector_questions(spark, sf_dir), vectors(spark, sf_dir)
-    mixed = q.select("query_id", "model").join(v.select("chunk_id", "model"), "model").withColumn("h", (F.col("chunk_id") * 7919 + F.col("query_id")) % 1009)
-    return retrieval.best(mixed.select("query_id", "chunk_id", (1.0 / (1 + F.abs("h"))).alias("score")), 40)
+def both_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q, p, may = passage_questions(spark, sf_dir), passages(spark, sf_dir), readable(spark)
+    return retrieval.vector(q, p, may), retrieval.lexical(q, p, may)
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_vector = retrieval.vector(vector_questions(spark, sf_dir), vectors(spark, sf_dir), readable(spark))
-    return retrieval.fused(by_vector, other_list(spark, sf_dir))
+    return retrieval.fused(*both_lists(spark, sf_dir))
 
 
 @query(f"""
@@ -169,8 +196,10 @@ def f1_rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical candidates with question and passage terms."""
-    c, q = D.chunks(spark, sf_dir), D.questions(spark, sf_dir)
-    found = lexical(spark, sf_dir).where("rank <= 20").join(c.select("chunk_id", "document_id", "text"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+    q, hits = D.questions(spark, sf_dir), lexical(spark, sf_dir).where("rank <= 20")
+    # only the documents that were hit are cut into chunks again
+    c = D.chunks(spark, sf_dir, hits.select(F.split("chunk_id", "-")[0].cast("long").alias("doc_id")))
+    found = hits.join(c.select("chunk_id", "document_id", "text"), "chunk_id").join(q.select("query_id", "question"), "query_id")
     return found.select("query_id", "chunk_id", "document_id", "rank", T.content_terms(F.col("question")).alias("question_terms"), T.content_terms(F.col("text")).alias("passage_terms"))
 
 
@@ -231,7 +260,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.lit("hash")
     q = retrieval.hashed_vectors(D.questions(spark, sf_dir), "question").withColumn("model", model)
     v = retrieval.hashed_vectors(c.select("chunk_id", "collection_id", "text")).withColumn("model", model)
-    both = retrieval.fused(retrieval.vector(q, v, may), retrieval.lexical(q, retrieval.postings(c), may))
+    both = retrieval.fused(retrieval.vector(q, v, may), retrieval.lexical(q, c, may))
     found = both.join(c.select("chunk_id", "document_id", "text"), "chunk_id").join(q.select("query_id", "question"), "query_id")
     ranked = retrieval.reranked(found.select("query_id", "chunk_id", "document_id", "rank", T.content_terms(F.col("question")).alias("question_terms"), T.content_terms(F.col("text")).alias("passage_terms")))
     rows = ranked.select("query_id", "chunk_id", "document_id", F.col("rerank_rank").alias("place_in"), F.col("rerank_score").alias("relevance"), F.col("passage_terms").alias("terms"))

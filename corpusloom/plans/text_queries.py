@@ -47,16 +47,13 @@ over_documents(
 over_documents("t10_approx_tokens", lambda x: T.approx_tokens(x), "greatest(1, round_even(length(text) / 4.0, 0)::INTEGER)")
 over_documents("t11_sha256", lambda x: F.sha2(x, 256), "sha256(text)")
 over_documents("t15_escape", lambda x: T.escape(x), "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')")
-over_documents("t16_section_label", lambda x: T.section_label(path(), title()), "source || ' > ' || lang")
 over_documents("t17_rerank_input", lambda x: T.rerank_input(title(), path(), x), f"{TITLE_SQL} || ' > ' || source || ' > ' || lang || chr(10) || text")
 over_documents("t18_embed_text", lambda x: T.embed_text(title(), path(), x), f"{TITLE_SQL} || ' > ' || source || ' > ' || lang || chr(10) || chr(10) || text")
 over_documents("t20_suspicious", lambda x: T.is_suspicious(x), S.suspicious("text"))
 over_documents("t21_urls", lambda x: T.urls(x), "regexp_extract_all(text, '(?i)https?://[^\\s<>\"'')\\]]+')")
 over_documents("t22_payloads", lambda x: T.payloads(x), "regexp_extract_all(text, '\\b[A-Z]{2,}(?:\\s+[A-Z]{2,})+\\b')")
 over_documents("t23_clean_spaces", lambda x: T.clean_spaces(x), "trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' +([.,;:])', '\\1', 'g'), ' ')")
-over_documents("t27_readable", lambda x: T.readable(F.concat(F.lit("| "), "lang", F.lit(" | --- | "), "source", F.lit(" |"))), "lang || ', ' || source")
-over_documents("s14_title_from_filename", lambda x: T.title_from_filename(F.concat(F.lit("a/b/my_file-"), "lang", F.lit(".md"))), "'My File ' || upper(lang[1]) || lang[2:]")
-over_documents("t24_safe_filename", lambda x: T.safe_filename(F.concat(F.lit("dir/"), x)), "regexp_replace(regexp_extract('dir/' || left(text, 40), '[^/\\\\]*$'), '[^A-Za-z0-9._-]+', '_', 'g')")
+over_documents("t24_safe_filename", lambda x: T.safe_filename(F.concat(F.lit("dir/"), x)), "regexp_replace(regexp_extract('dir/' || text, '[^/\\\\]*$'), '[^A-Za-z0-9._-]+', '_', 'g')")
 over_documents("c6_normalized_text", lambda x: F.array_join(T.filled(F.split(x, "\n")), "\n\n"), f"array_to_string({S.filled('string_split(text, chr(10))')}, chr(10) || chr(10))")
 over_documents(
     "t12_document_hash",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#]+)"""
@@ -57,3 +57,53 @@ def fetch_outcome(status: Column, content_type: Column) -> Column:
         F.when(status == 304, "unchanged").when(status.isin(404, 410), "deleted").when(status != 200, "error")
         .when(~F.lower(content_type).contains("html"), "skipped").otherwise("upsert")
     )
+
+
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """origin, allow, prefix: the rules for all agents of robots files (origin, status, text); a file that wasn't found allows all."""
+    lines = F.transform(F.split("text", r"\r?\n"), lambda s: F.trim(F.regexp_replace(s, "#.*$", "")))
+    mark = F.transform(lines, lambda s: F.regexp_replace(F.lower(F.regexp_extract(s, r"^([A-Za-z-]+)\s*:", 1)), "-", ""))
+    value = F.transform(lines, lambda s: F.trim(F.regexp_replace(s, r"^[A-Za-z-]+\s*:", "")))
+    each = robots.where("status = 200").select("origin", F.posexplode(F.arrays_zip(mark.alias("mark"), value.alias("value"))).alias("place", "x")).select("origin", "place", "x.mark", "x.value")
+    # rules belong to the agents named before them; agents in a row share rules
+    before = Window.partitionBy("origin").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("origin").orderBy("place")
+    known = each.where(F.col("mark").isin("useragent", "allow", "disallow"))
+    begins = (F.col("mark") == "useragent") & F.coalesce(F.lag("mark").over(earlier) != "useragent", F.lit(True))
+    grouped = known.withColumn("group", F.sum(begins.cast("int")).over(before))
+    whole = Window.partitionBy("origin", "group")
+    for_all = grouped.withColumn("all", F.bool_or((F.col("mark") == "useragent") & (F.col("value") == "*")).over(whole))
+    return for_all.where("all AND mark <> 'useragent' AND value <> ''").select("origin", (F.col("mark") == "allow").alias("allow"), F.col("value").alias("prefix"))
+
+
+def with_permission(urls: DataFrame, robots: DataFrame) -> DataFrame:
+    """urls (url) with `allowed`: the longest rule of the origin that the path begins with decides, of equals one that allows;
+    without any, or without a file, all is allowed."""
+    origin = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0))
+    path = F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    asked = urls.withColumns({"origin": origin, "__path": F.when(path == "", "/").otherwise(path)})
+    met = asked.select("url", "origin", "__path").distinct().join(robots_rules(robots), "origin").where(F.col("__path").startswith(F.col("prefix")))
+    ruled = met.groupBy("url").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("ruled"))
+    return asked.join(ruled, "url", "left").withColumn("allowed", F.coalesce("ruled", F.lit(True))).drop("ruled", "origin", "__path")
+
+
+def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """url: the pages that sitemaps (url, xml) list, from the roots (url) on; an index leads to further sitemaps, `depth` deep."""
+    located = sitemaps.select("url", F.col("xml").rlike(r"(?i)<sitemapindex[\s>]").alias("index"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("loc"))
+    level, out = roots.select("url").distinct(), None
+    for _ in range(depth + 1):
+        listed = level.join(located, "url")
+        pages = listed.where("NOT index").select(normalized_url(F.col("loc")).alias("url"))
+        out = pages if out is None else out.unionByName(pages)
+        level = listed.where("index").select(F.col("loc").alias("url")).distinct()
+    return out.distinct()
+
+
+def within(urls: DataFrame, start: DataFrame, include: str | None = None, exclude: str | None = None, max_pages: int | None = None) -> DataFrame:
+    """Crawled urls (url, depth) that match include and not exclude, start pages exempt, and of these the first max_pages by
+    depth and url: the feature's own limit on what is seen."""
+    exempt = urls.join(start.select(normalized_url(F.col("url")).alias("url"), F.lit(True).alias("first")).distinct(), "url", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    keep = F.col("first")
+    matched = (F.col("url").rlike(include) if include else F.lit(True)) & (~F.col("url").rlike(exclude) if exclude else F.lit(True))
+    kept = exempt.where(keep | matched).drop("first")
+    return kept if max_pages is None else kept.orderBy("depth", "url").limit(max_pages)
