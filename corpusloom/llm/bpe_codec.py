@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ragged
+from .common import lean
 from .merging import PairMerger
 
 #: Bytes of text that are held as arrays at once.
@@ -304,7 +305,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text", share:
                     n = 0
         yield block()
 
-    found = docs.select(text).mapInArrow(count, "word binary, n long")
+    found = docs.select(text).mapInArrow(lean(count), "word binary, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
@@ -345,7 +346,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: Lexicon, text: str = "text
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
-    return kept.mapInArrow(each, schema)
+    return kept.mapInArrow(lean(each), schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -380,4 +381,4 @@ def digests(docs: DataFrame, vocabulary: str, lexicon: Lexicon, key: str = "doc_
                 yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(key, text).mapInArrow(digest, schema)
+    return docs.select(key, text).mapInArrow(lean(digest), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ragged, shingles
-from .common import done_with, settled
+from .common import done_with, lean, settled
 
 BANDS = 60
 ITEMS = 50_000
@@ -67,7 +67,7 @@ def item_table(items: DataFrame) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(columns, ["item_id", "size_class", "item_set", "least", "keys"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(each, "item_id long, size_class int, item_set binary, least array<long>, keys array<long>")
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(lean(each), "item_id long, size_class int, item_set binary, least array<long>, keys array<long>")
 
 
 class Wanted:
@@ -158,7 +158,7 @@ def candidates(docs: DataFrame, item_keys: DataFrame) -> DataFrame:
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "keys", "doc_set"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, keys array<long>, doc_set binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(each), "doc_id long, keys array<long>, doc_set binary")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, near: int = NEAR) -> DataFrame:

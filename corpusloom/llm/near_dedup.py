@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged, shingles
-from .common import document_key, done_with, settled
+from .common import document_key, done_with, lean, settled
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -82,7 +82,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n_shingles", "class", "sketch"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(each, "key long, doc_id long, n_shingles long, class binary, sketch array<long>")
+    return docs.select("key", "doc_id", "text").mapInArrow(lean(each), "key long, doc_id long, n_shingles long, class binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(found, pa.binary())], ["doc", "shingles"])
                 at += len(part)
 
-    return docs.select("key", "text").mapInArrow(each, "doc long, shingles binary")
+    return docs.select("key", "text").mapInArrow(lean(each), "doc long, shingles binary")
 
 
 def shared(rows: DataFrame, *key: str) -> DataFrame:
@@ -179,7 +179,7 @@ def tokens(sets: DataFrame) -> DataFrame:
                 same = [pa.repeat(batch.column(c)[k], len(values)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(values), *same, pa.repeat(pa.scalar(len(values), pa.int64()), len(values))], ["token", "doc", "component", "n"])
 
-    return sets.select("doc", "component", "shingles").mapInArrow(each, "token long, doc long, component long, n long")
+    return sets.select("doc", "component", "shingles").mapInArrow(lean(each), "token long, doc long, component long, n long")
 
 
 def rare_shingles(sets: DataFrame, near: int) -> DataFrame:
@@ -360,7 +360,7 @@ def rivals(lists: DataFrame, near: int) -> DataFrame:
         if held:
             yield flushed()
 
-    return in_lists(lists).select(*NUMBERS).mapInArrow(each, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    return in_lists(lists).select(*NUMBERS).mapInArrow(lean(each), ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
 def links_of_rivals(rows: DataFrame, sets: DataFrame, near: int) -> DataFrame:
@@ -372,7 +372,7 @@ def links_of_rivals(rows: DataFrame, sets: DataFrame, near: int) -> DataFrame:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return in_lists(rows.join(sets, "doc")).select(*NUMBERS, "shingles").mapInArrow(each, "a long, b long")
+    return in_lists(rows.join(sets, "doc")).select(*NUMBERS, "shingles").mapInArrow(lean(each), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:

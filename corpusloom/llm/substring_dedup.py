@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import induced_sort, ragged
-from .common import done_with, settled
+from .common import done_with, lean, settled
 from .shingles import FACTOR, mixed
 
 LENGTH, GRAM = 200, 32
@@ -139,7 +139,7 @@ def piece_table(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(anchor.view(np.int64)), pa.array(body.view(np.int64))], names)
                 at += len(part)
 
-    return docs.select("key", "doc_id", "text").mapInArrow(each, "key binary, doc_id long, place long, n int, anchor long, body long")
+    return docs.select("key", "doc_id", "text").mapInArrow(lean(each), "key binary, doc_id long, place long, n int, anchor long, body long")
 
 
 def cut_pieces(docs: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def cut_pieces(docs: DataFrame, pieces: DataFrame) -> DataFrame:
                 body = [data[a : a + m + LENGTH - 1] for a, m in zip(place.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("body"), rows.field("n"), pa.array(body, pa.binary())], ["anchor", "body", "n", "bytes"])
 
-    return joined.mapInArrow(each, "anchor long, body long, n int, bytes binary")
+    return joined.mapInArrow(lean(each), "anchor long, body long, n int, bytes binary")
 
 
 class Shard:
@@ -239,7 +239,7 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
             yield solved(shard)
 
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "body").select("anchor", "body", "n", "bytes")
-    return dealt.mapInArrow(each, "anchor long, body long, first long, last long")
+    return dealt.mapInArrow(lean(each), "anchor long, body long, first long, last long")
 
 
 def halved(pieces: DataFrame, level: int) -> DataFrame:
@@ -269,7 +269,7 @@ def halved(pieces: DataFrame, level: int) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([c.view(pa.int64()) if c.type == pa.uint64() else c for c in columns], names)
 
-    return pieces.select("anchor", "body", "n", "at", "bytes").mapInArrow(each, "anchor long, body long, part long, kind long, shift int, n int, at int, bytes binary")
+    return pieces.select("anchor", "body", "n", "at", "bytes").mapInArrow(lean(each), "anchor long, body long, part long, kind long, shift int, n int, at int, bytes binary")
 
 
 def groups(kinds: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ragged
+from .common import lean
 
 SCHEMA = "doc_id long, part int, begin long, n_tokens long, ids array<int>"
 
@@ -99,7 +100,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, stripe_b
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": row_index_stride,
         "orc.create.index": "true", "orc.stripe.size": stripe_bytes, "compression": "zstd",
     }
-    ordered.mapInArrow(tokens, SCHEMA).write.options(**options).orc(path)
+    ordered.mapInArrow(lean(tokens), SCHEMA).write.options(**options).orc(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -127,5 +128,5 @@ def digests(rows: DataFrame) -> DataFrame:
             sizes = pa.array(np.diff(offset), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, pa.array(crc, pa.int64())], ["doc_id", "part", "begin", "n_tokens", "ids_crc32"])
 
-    sums = rows.select("doc_id", "part", "begin", "ids").mapInArrow(checksum, "doc_id long, part int, begin long, n_tokens long, ids_crc32 long")
+    sums = rows.select("doc_id", "part", "begin", "ids").mapInArrow(lean(checksum), "doc_id long, part int, begin long, n_tokens long, ids_crc32 long")
     return sums.join(starts(rows), "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
