@@ -45,7 +45,8 @@ from .shingles import FACTOR, mixed
 LENGTH, GRAM = 200, 32
 CHUNK = 1 << 22
 SHARD = 1 << 21
-HOT = SHARD
+#: As much as a task sorts in half a minute: larger groups would hold it up, smaller ones cost more to split than to sort.
+HOT = 8 * SHARD
 OFFSETS = LENGTH - GRAM + 1
 
 
