@@ -40,36 +40,60 @@ def too_little_text(lines: DataFrame) -> DataFrame:
     return per.where(F.col("signs") < 20 * F.col("pages")).select("doc_id")
 
 
+def seeds(terms: list[list[str]], vectors: list[np.ndarray | None], likeness: float, similarity: float) -> list[int]:
+    """For texts in order the place of the text that began each one's cluster.
+
+    Term overlaps of all pairs are one matrix product. Clusters are rows of two arrays: the place of their first text, whose
+    terms stand for them, and the running mean direction of their vectors, kept at unit length."""
+    n = len(terms)
+    number = {t: k for k, t in enumerate(dict.fromkeys(t for ts in terms for t in ts))}
+    has = np.zeros((n, len(number)), np.float32)
+    for i, ts in enumerate(terms):
+        has[i, [number[t] for t in ts]] = 1
+    shared, size = has @ has.T, has.sum(axis=1)
+    alike = shared >= likeness * np.maximum(size[:, None] + size - shared, 1e-9)
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    unit = np.zeros((n, width))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == width:
+            unit[i] = np.asarray(v, float) / (np.linalg.norm(v) or 1.0)
+    placed = unit.any(axis=1)
+    first, mean, members = np.zeros(n, np.int64), np.zeros((n, width)), np.zeros(n)
+    out, k = [], 0
+    for i in range(n):
+        by_terms = np.flatnonzero(alike[i, first[:k]] & (shared[i, first[:k]] > 0))
+        angles = mean[:k] @ unit[i] if placed[i] else np.zeros(0)
+        if len(by_terms):
+            c = int(by_terms[0])
+        elif len(angles) and angles.max() >= similarity:
+            c = int(angles.argmax())
+        else:
+            c, k = k, k + 1
+            first[c], mean[c] = i, unit[i]
+        if members[c] and placed[i] and mean[c].any():
+            moved = mean[c] * members[c] + unit[i]
+            mean[c] = moved / np.linalg.norm(moved)
+        members[c] += 1
+        out.append(int(first[c]))
+    return out
+
+
 def clusters(questions: DataFrame, likeness: float = 0.5, similarity: float = 0.72, most: int = 2000) -> DataFrame:
     """Unanswered questions in clusters: the newest `most`, newest first, each to the first cluster whose seed shares
-    half of its terms, else to the one with the nearest centroid, else to a new one. The order matters, so the
-    bounded report is one task. questions: id, user, question, at, terms, embedding (null: none)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in rows.sort_values(["at", "id"], ascending=[False, False]).itertuples():
-            terms = set(r.terms)
-            vector = None if r.embedding is None else np.asarray(r.embedding, float) / (np.linalg.norm(r.embedding) or 1.0)
-            like = [c for c in out if terms | c["terms"] and len(terms & c["terms"]) / len(terms | c["terms"]) >= likeness]
-            found = like[0] if like else None
-            if found is None and vector is not None:
-                near = [(float(c["centroid"] @ vector), c) for c in out if c["centroid"] is not None and len(c["centroid"]) == len(vector)]
-                score, found = max(near, key=lambda x: x[0], default=(0.0, None))
-                found = found if score >= similarity else None
-            if found is None:
-                out.append({"label": r.question, "count": 1, "users": {r.user}, "last_seen": r.at, "terms": terms, "centroid": vector})
-                continue
-            found["count"] += 1
-            found["users"].add(r.user)
-            if vector is not None and found["centroid"] is not None and len(found["centroid"]) == len(vector):
-                moved = found["centroid"] * (found["count"] - 1) + vector
-                found["centroid"] = moved / np.linalg.norm(moved)
-        key = lambda c: str(uuid.uuid5(uuid.NAMESPACE_URL, " ".join(c["label"].lower().split())))
-        done = [(key(c), c["label"], c["count"], len(c["users"]), c["last_seen"]) for c in sorted(out, key=lambda c: (-c["count"], c["label"]))]
-        return pd.DataFrame(done, columns=["cluster_id", "label", "n", "users", "last_seen"])
-
-    newest = questions.orderBy(F.desc("at"), F.desc("id")).limit(most).withColumn("all", F.lit(1))
-    return newest.groupBy("all").applyInPandas(run, "cluster_id string, label string, n long, users long, last_seen timestamp")
+    half of its terms, else to the one with the nearest mean vector, else to a new one. The order matters, so this
+    assignment, of a bounded report, is one task; counts are Spark's. questions: id, user, question, at, terms, embedding
+    (null: none)."""
+    newest = questions.orderBy(F.desc("at"), F.desc("id")).limit(most)
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "id"], ascending=[False, False])
+        place = seeds([list(t) for t in rows["terms"]], list(rows["embedding"]), likeness, similarity)
+        label = rows["question"].to_numpy()[place]
+        ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, " ".join(x.lower().split()))) for x in label]
+        return pd.DataFrame({"cluster_id": ids, "seed": place, "label": label, "user": rows["user"].astype(str), "at": rows["at"]})
+
+    found = newest.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(assign, "cluster_id string, seed int, label string, user string, at timestamp")
+    return found.groupBy("cluster_id", "seed", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("users"), F.max("at").alias("last_seen")).drop("seed").orderBy(F.desc("n"), "label")
 
 
 def source_block(sources: Column) -> Column:
