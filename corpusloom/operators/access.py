@@ -54,6 +54,12 @@ def last_grants(grants: DataFrame, place: str = "place") -> DataFrame:
     return grants.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
 
 
+def owners_left(grants: DataFrame) -> DataFrame:
+    """collection_id, has_owner: whether the grants (collection_id, role) of each collection leave it an owner, as those that anyone
+    but an admin sets must."""
+    return grants.groupBy("collection_id").agg(F.bool_or(F.col("role") == "owner").alias("has_owner"))
+
+
 def narrowed(allowed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The allowed collections that were asked for; never more than the allowed ones."""
     return allowed.join(wanted, ["sub", "collection_id"], "left_semi")

@@ -65,6 +65,17 @@ def last_turns(turns: DataFrame, n: int = 6, longest: int = 600) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("history"))
 
 
+def rates(events: DataFrame, by: str, width: str = "5 minutes", step: str = "1 minute", seconds: int = 300) -> DataFrame:
+    """by, start, rate: events (ts) a second in sliding windows; on a stream with a watermark as well."""
+    counted = events.groupBy(by, F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(by, F.col("window.start").alias("start"), (F.col("n") / seconds).alias("rate"))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """The share of part in whole, from 0 to 1; 0 of nothing."""
+    return F.when(whole > 0, F.least(F.greatest(part / whole, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
 def histogram(values: DataFrame, value: str, edges: list[float], by: str) -> DataFrame:
     """Cumulative counts of values up to each edge, and in all."""
     counts = [F.count_if(F.col(value) <= e).alias(f"le_{e:g}".replace(".", "_")) for e in edges]

@@ -123,9 +123,9 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def span(text: Column, start: Column, end: Column) -> Column:
-    """The signs from start to end, end excluded; null unless 0 <= start < end <= length."""
-    inside = (start >= 0) & (start < end) & (end <= F.length(text))
-    return F.when(inside, F.substring(text, start + 1, end - start))
+    """The signs from start to end, end excluded, or to the text's end; '' unless 0 <= start < end and start is inside."""
+    inside = (start >= 0) & (start < end) & (start < F.length(text))
+    return F.when(inside, F.substring(text, start + 1, F.least(end, F.length(text)) - start)).otherwise("")
 
 
 def step_place(step: Column, order: tuple[str, ...] = STEP_ORDER) -> Column:

@@ -115,10 +115,13 @@ def document_view(chunks: DataFrame, longest: int = 20_000) -> DataFrame:
 
 
 def highlight_phrase(text: Column, words: int = 8) -> Column:
-    """Of the longest line the first sentence's first words."""
-    lines = F.array_sort(F.transform(T.filled(F.split(text, "\n")), lambda x: F.struct((-F.length(x)).alias("minus"), x.alias("x"))))
-    first = F.get(T.loose_sentences(F.get(lines, F.lit(0))["x"]), F.lit(0))
-    return F.array_join(F.slice(F.split(first, r"\s+"), 1, words), " ")
+    """The first words of the longest line's first sentence, Markdown signs and citations taken off; '' without a line."""
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^#{1,6}\s+", ""), "[*_`>|]", " "), r"\[\d+\]", " ")
+    lines = F.filter(T.filled(F.transform(F.split(text, r"\n+"), lambda x: F.regexp_replace(bare(x), r"\s+", " "))), lambda x: ~x.rlike(r"^[-:\s]+$"))
+    # the first of the longest
+    longest = F.get(F.array_sort(F.transform(lines, lambda x, k: F.struct((-F.length(x)).alias("minus"), k.alias("k"), x.alias("x")))), F.lit(0))["x"]
+    first = F.get(T.loose_sentences(longest), F.lit(0))
+    return F.coalesce(F.regexp_replace(F.array_join(F.slice(F.split(first, " "), 1, words), " "), "[.,;:]+$", ""), F.lit(""))
 
 
 def status_now(events: DataFrame) -> DataFrame:

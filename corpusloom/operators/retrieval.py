@@ -101,6 +101,29 @@ def reranked(candidates: DataFrame) -> DataFrame:
     return scored.withColumn("rerank_rank", F.row_number().over(order))
 
 
+def rescored(candidates: DataFrame, logit: Column) -> DataFrame:
+    """candidates (query_id, rank) with rerank_score and rerank_rank by a model's logits, as reranked() has them by overlap. `logit` is
+    evaluated in Arrow batches if it is a Pandas UDF over a model."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
+    return candidates.withColumn("rerank_score", 1 / (1 + F.exp(-logit))).withColumn("rerank_rank", F.row_number().over(order))
+
+
+# Fixed value: what queries of the models with this word in their names begin with.
+QUERY_PREFIX = {"bge": "Represent this sentence for searching relevant passages: "}
+
+
+def query_input(question: Column, model: str) -> Column:
+    """A question as its embedding model wants it."""
+    prefix = next((p for name, p in QUERY_PREFIX.items() if name in model.lower()), "")
+    return F.concat(F.lit(prefix), question)
+
+
+def checked_vectors(embedding: Column, size: int) -> Column:
+    """Vectors of a model; the query fails if one hasn't `size` values."""
+    wrong = F.raise_error(F.concat(F.lit(f"a vector should have {size} values, not "), F.size(embedding).cast("string"))).cast("array<float>")
+    return F.when(F.size(embedding) == size, embedding).otherwise(wrong)
+
+
 def diversified(ranked: DataFrame, k: int = 8, per_document: int = 3, weight: float = 0.75) -> DataFrame:
     """Maximal marginal relevance: query_id, chunk_id, place. ranked: query_id, chunk_id, document_id,
     place_in, relevance (0 to 1), terms. Each pick weighs relevance against the greatest likeness to the picks

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import analytics, metrics
+from corpusloom.operators import analytics, listings, metrics
 
 from . import domain as D
 from .search_queries import VECTOR_SQL, readable, vector_questions, vectors
@@ -145,13 +145,15 @@ def w3_minute_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id), 4) AS used FROM events
+SELECT event_id, user_id, round(used, 4) AS used, used - value >= 150 AS refused FROM (
+  SELECT event_id, user_id, value, sum(value) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS used FROM events)
 """)
 def w4_daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.streaming.limits import running_budget
 
     e = D.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return running_budget(e).select("event_id", "user_id", F.round("used", 4).alias("used"))
+    used = listings.refused_beyond(running_budget(e), 150, F.col("used"))
+    return used.select("event_id", "user_id", F.round("used", 4).alias("used"), "refused")
 
 
 @query("""

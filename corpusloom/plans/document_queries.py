@@ -56,7 +56,7 @@ def s13_too_little_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.too_little_text(lines(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT item_id, list_reduce({S.filled("string_split(regexp_replace(text, 'e', 'e' || chr(30), 'g'), chr(30))")}, lambda a, x: CASE WHEN suffix(a, '-') AND regexp_matches(x, '^[a-z]') THEN a[:-2] || x ELSE a || ' ' || x END) AS out FROM benchmark")
 def s12_dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "benchmark").select("item_id", documents.dehyphenated(F.split("text", "(?<=e)")).alias("out"))
 
@@ -141,12 +141,20 @@ def r12_collections_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.page(c, [F.col("name")], F.col("name") > "src1", 2)
 
 
-@query()
+@query(f"SELECT doc_id, list_filter(list_transform({S.sentences('text')}, lambda s: regexp_replace(regexp_replace(regexp_replace(s, '\\[\\d+\\]', '', 'g'), '^(?i)(according to the sources:?|based on the sources,?)\\s*', ''), '^[ .]+|[ .]+$', '', 'g')), lambda s: len({S.content_terms('s')}) >= 2) AS claims FROM documents")
 def e11_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", answers.claims(F.col("text")).alias("claims"))
 
 
-@query()
+CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^#{1,6}\\s+', ''), '[*_`>|]', ' ', 'g'), '\\[\\d+\\]', ' ', 'g'), '\\s+', ' ', 'g')"
+X1_SQL = f"""
+WITH l AS (SELECT doc_id, list_filter({S.filled(f"list_transform(string_split_regex(text, '\\n+'), lambda x: {CLEAN_SQL})")}, lambda x: NOT regexp_matches(x, '^[-:\\s]+$')) AS lines FROM documents),
+b AS (SELECT doc_id, lines[list_position(list_transform(lines, lambda x: length(x)), list_max(list_transform(lines, lambda x: length(x))))] AS best FROM l)
+SELECT doc_id, coalesce(regexp_replace(array_to_string(string_split(string_split(regexp_replace(best, '([.!?])\\s+', '\\1' || chr(30)), chr(30))[1], ' ')[1:8], ' '), '[.,;:]+$', ''), '') AS phrase FROM b
+"""
+
+
+@query(X1_SQL)
 def x1_highlight_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", documents.highlight_phrase(F.col("text")).alias("phrase"))
 

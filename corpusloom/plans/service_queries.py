@@ -203,7 +203,7 @@ def x5_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.messages(chat.answer_events(rows))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 40 < 20 + doc_id % 30 AND 20 + doc_id % 30 <= length(text) THEN substring(text, CAST(doc_id % 40 + 1 AS BIGINT), CAST(20 + doc_id % 30 - doc_id % 40 AS BIGINT)) END AS span FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 40 < 20 + doc_id % 30 THEN substring(text, CAST(doc_id % 40 + 1 AS BIGINT), CAST(20 + doc_id % 30 - doc_id % 40 AS BIGINT)) ELSE '' END AS span FROM documents")
 def x2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return documents(spark, sf_dir).select("doc_id", chat.span(F.col("text"), (i % 40).cast("int"), (20 + i % 30).cast("int")).alias("span"))
@@ -327,6 +327,42 @@ def r28_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.registered(old, new).select("external_id", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"), "status")
 
 
+@query(f"""
+WITH {D.GRANTS_SQL} SELECT doc_id, coalesce(d.source, g.collection_id) AS collection_id FROM documents d LEFT JOIN (SELECT NULL AS collection_id) g ON false WHERE d.source IN (SELECT collection_id FROM grants WHERE principal_id = 'g0') AND doc_id % 2 = 0
+""")
+def a10_visible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of documents, a third of which don't name their collection, as user u0 sees them."""
+    from corpusloom.streaming.limits import document_events
+
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("source").alias("collection_id"))
+    events = d.where("document_id % 2 = 0").withColumn("collection_id", F.when(F.col("document_id") % 3 != 0, F.col("collection_id")))
+    seen = document_events(events, d, readable(spark).where("sub = 'u0'"))
+    return seen.select(F.col("document_id").alias("doc_id"), "collection_id")
+
+
+@query("""
+WITH g AS (SELECT doc_id % 40 AS collection_id, CASE doc_id % 7 WHEN 0 THEN 'owner' WHEN 1 THEN 'editor' ELSE 'viewer' END AS role FROM documents WHERE doc_id % 40 < 25 OR doc_id % 7 <> 0)
+SELECT collection_id, bool_or(role = 'owner') AS has_owner FROM g GROUP BY 1
+""")
+def a9_owners_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import access
+
+    i = F.col("doc_id")
+    role = F.when(i % 7 == 0, "owner").when(i % 7 == 1, "editor").otherwise("viewer")
+    return access.owners_left(documents(spark, sf_dir).where("doc_id % 40 < 25 OR doc_id % 7 <> 0").select((i % 40).alias("collection_id"), role.alias("role")))
+
+
+@query("""
+WITH w AS (SELECT event_type, date_trunc('minute', ts) - to_minutes(CAST(k AS INTEGER)) AS start FROM events, range(5) r(k))
+SELECT event_type, strftime(start, '%Y-%m-%d %H:%M') AS start, round(count(*) / 300.0::DOUBLE, 6) AS rate FROM w GROUP BY 1, 2
+""")
+def w6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests a second in each five minutes, every minute."""
+    e = D.table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rates = analytics.rates(e, "event_type")
+    return rates.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.round("rate", 6).alias("rate"))
+
+
 # --- listings
 
 

@@ -29,8 +29,10 @@ def normalize(text: str) -> str:
 
 
 def mime_type(path: Column, head: Column) -> Column:
-    """From the first bytes (binary), and the name where these are text."""
+    """From the first 8 KiB (binary), and the name where these are text. A zip file is a document if it has its members;
+    scripts have types of their own, which aren't read."""
     magic = F.hex(F.substring(head, 1, 4))
+    plain = F.decode(head, "ISO-8859-1")
     starts = F.lower(F.trim(F.substring(F.decode(F.substring(head, 1, 256), "ISO-8859-1"), 1, 256)))
     name = F.lower(path)
     return (
@@ -38,7 +40,11 @@ def mime_type(path: Column, head: Column) -> Column:
         .when(magic.startswith("4D5A"), FORBIDDEN[0])
         .when(magic == "7F454C46", FORBIDDEN[1])
         .when(magic.isin("CFFAEDFE", "FEEDFACF"), FORBIDDEN[2])
-        .when(magic == "504B0304", F.when(name.endswith(".docx"), READ[4]).otherwise("application/zip"))
+        .when(magic == "504B0304", F.when(plain.contains("word/"), READ[4]).otherwise("application/zip"))
+        .when(magic == "89504E47", "image/png").when(magic.startswith("FFD8FF"), "image/jpeg").when(magic == "47494638", "image/gif")
+        .when(plain.contains("\x00"), "application/octet-stream")
+        .when(plain.startswith("#!") & F.regexp_extract(plain, r"^#!([^\r\n]*)", 1).contains("python") | name.rlike(r"\.py$"), "text/x-python")
+        .when(plain.startswith("#!") | name.rlike(r"\.sh$"), "text/x-shellscript")
         .when(starts.rlike("^(<!doctype html|<html)") | name.rlike(r"\.html?$"), "text/html")
         .when(name.rlike(r"\.(md|markdown)$"), "text/markdown")
         .otherwise("text/plain")
@@ -99,8 +105,10 @@ def markdown_blocks(text: str) -> list[dict]:
 class Page(HTMLParser):
     """The main content of an HTML page as blocks; navigation and scripts are left out."""
 
-    def __init__(self) -> None:
+    def __init__(self, precise: bool = False) -> None:
+        """precise: of what is inside main or article tags only."""
         super().__init__(convert_charrefs=True)
+        self.precise = precise
         self.out: list[dict] = []
         self.open: list[str] = []
         self.text: list[str] = []
@@ -156,16 +164,30 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if "title" in self.open:
             self.title.append(data)
-        elif not any(t in SKIPPED for t in self.open) and "head" not in self.open:
+        elif not any(t in SKIPPED for t in self.open) and "head" not in self.open and (not self.precise or "main" in self.open or "article" in self.open):
             self.text.append(data)
 
 
-def html_blocks(html: str) -> tuple[str | None, list[dict]]:
-    """Title and blocks of a page; the title is cut at " | "."""
-    page = Page()
+# Fixed value: the share of all text that the main part must hold to be taken alone.
+PRECISE_SHARE = 0.6
+MAIN = re.compile(r"<(?:main|article)[\s>]", re.IGNORECASE)
+
+
+def read_page(html: str, precise: bool) -> Page:
+    page = Page(precise)
     page.feed(html)
     page.close()
     page.flush()
+    return page
+
+
+def html_blocks(html: str) -> tuple[str | None, list[dict]]:
+    """Title and blocks of a page; the title is cut at " | "."""
+    page = read_page(html, False)
+    if MAIN.search(html):
+        precise = read_page(html, True)
+        signs = [sum(len(b["text"]) for b in p.out) for p in (precise, page)]
+        page = precise if signs[0] >= PRECISE_SHARE * signs[1] else page
     first = next((b["text"] for b in page.out if b["kind"] == "heading"), None)
     title = normalize("".join(page.title)).split(" | ")[0] or first
     return title, page.out

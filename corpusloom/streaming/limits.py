@@ -27,3 +27,18 @@ def stream_minute_counts(stream: DataFrame, late: str = "10 minutes", most: int
 def visible_events(stream: DataFrame, readable: DataFrame) -> DataFrame:
     """Document events, a copy for each principal that may read the collection: a stream joined to a table."""
     return stream.join(readable.select("sub", "collection_id"), "collection_id")
+
+
+def document_events(events: DataFrame, documents: DataFrame, readable: DataFrame) -> DataFrame:
+    """visible_events() of events (document_id, collection_id) of which some don't name their collection: it is the document's
+    (documents: document_id, collection_id). Works on a stream as on a batch."""
+    of = documents.select("document_id", F.col("collection_id").alias("__of"))
+    named = events.join(of, "document_id", "left").withColumn("collection_id", F.coalesce("collection_id", "__of")).drop("__of")
+    return visible_events(named, readable)
+
+
+def status_events(stream: DataFrame) -> DataFrame:
+    """What a client is sent: an event `ready` for each status change (document_id, status, ts) to ready, `status` for the others;
+    a repeated status within an hour is sent once."""
+    once = stream.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["document_id", "status"])
+    return once.withColumn("event", F.when(F.col("status") == "ready", "ready").otherwise("status"))

@@ -184,3 +184,53 @@ def test_files_are_read_by_their_type(spark, tmp_path):
     assert [b.text for b in rows["hr/pay_scale-2024.txt"].blocks] == ["one", "two"]
     known = found.select("path", "raw_sha256", F.when(F.col("path").startswith("hr"), "ready").otherwise("failed").alias("status"))
     assert {r.path for r in files.to_register(found, known).collect()} == {p for p in contents if p.startswith("it")}
+
+
+def test_types_by_content(spark):
+    cases = [("a", b"PK\x03\x04..word/document.xml"), ("a.docx", b"PK\x03\x04..xl/"), ("a.bin", b"ab\x00c"), ("run", b"#!/usr/bin/env python3\n"), ("run", b"#!/bin/sh\n"), ("x.md", b"# t"), ("x", b"  <!DOCTYPE html>"), ("x.py", b"print")]
+    df = spark.createDataFrame([(k, p, bytearray(c)) for k, (p, c) in enumerate(cases)], "k int, path string, content binary")
+    from corpusloom.sources import parsers
+
+    rows = df.select("k", parsers.mime_type(F.col("path"), F.col("content")).alias("m")).withColumn("r", parsers.refusal(F.col("m"))).orderBy("k").collect()
+    assert [r.m for r in rows] == [files.DOCX, "application/zip", "application/octet-stream", "text/x-python", "text/x-shellscript", "text/markdown", "text/html", "text/x-python"]
+    assert [r.r is None for r in rows] == [True, False, False, False, False, True, True, False]
+
+
+def test_main_part_of_a_page_is_taken_if_it_holds_most_of_it():
+    from corpusloom.sources import parsers
+
+    page = "<html><body><div>{}</div><main><h1>T</h1><p>{}</p></main></body></html>"
+    assert [b["text"] for b in parsers.html_blocks(page.format("menu", "body " * 20))[1]] == ["T", ("body " * 20).strip()]
+    assert [b["text"] for b in parsers.html_blocks(page.format("long " * 20, "body"))[1]] == [("long " * 20).strip(), "T", "body"]
+
+
+def test_models_plug_in(spark):
+    from corpusloom.functions.tokens import token_count
+    from corpusloom.operators import retrieval
+
+    df = spark.createDataFrame([(1, 1, 0.0), (1, 2, 2.0)], "query_id int, rank int, x double")
+    got = {r["rank"]: (round(r.rerank_score, 4), r.rerank_rank) for r in retrieval.rescored(df, F.col("x")).collect()}
+    assert got == {1: (0.5, 2), 2: (0.8808, 1)}
+    assert df.select(retrieval.query_input(F.lit("q"), "BGE-small")).first()[0].endswith("passages: q") and df.select(retrieval.query_input(F.lit("q"), "other")).first()[0] == "q"
+    assert df.select(F.size(retrieval.checked_vectors(F.array(F.lit(1.0).cast("float")), 1))).first()[0] == 1
+    with pytest.raises(Exception, match="should have 2 values"):
+        df.select(retrieval.checked_vectors(F.array(F.lit(1.0).cast("float")), 2)).collect()
+    assert df.select(token_count(F.lit("three words."), "/no/such/file")).first()[0] == 3
+
+
+def test_a_repeated_status_is_sent_once(spark, tmp_path):
+    from corpusloom.streaming.limits import status_events
+
+    rows = [(1, "parsing", "2024-01-01 00:00:00"), (1, "parsing", "2024-01-01 00:00:05"), (1, "ready", "2024-01-01 00:01:00")]
+    spark.createDataFrame(rows, "document_id int, status string, at string").select("document_id", "status", F.col("at").cast("timestamp").alias("ts")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("document_id int, status string, ts timestamp").parquet(str(tmp_path / "in"))
+    query = status_events(stream).writeStream.format("memory").queryName("statuses").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.status, r.event) for r in spark.table("statuses").collect()) == [("parsing", "status"), ("ready", "ready")]
+
+
+def test_leaks_are_found_by_other_means(spark):
+    people = spark.createDataFrame([("a", ["g"], False), ("r", [], True)], "sub string, groups array<string>, is_admin boolean")
+    grants = spark.createDataFrame([("c1", "group", "g"), ("c2", "user", "b")], "collection_id string, principal_type string, principal_id string")
+    seen = spark.createDataFrame([(1, "a", "c1"), (2, "a", "c1"), (2, "a", "c2"), (3, "r", "c2"), (4, "nobody", "c1")], "query_id int, sub string, collection_id string")
+    assert {r.query_id: r.leaked for r in metrics.leaks(seen, people, grants).collect()} == {1: False, 2: True, 3: False, 4: True}
