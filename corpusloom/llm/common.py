@@ -18,8 +18,11 @@ LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read and write; taken from the session where it names one."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED).rstrip("/")
+    """The folder every executor can read and write; taken from the session. Only a session of one machine needs to name none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
