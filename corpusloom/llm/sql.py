@@ -94,6 +94,38 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+def op12(rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other; of each part the 16 entries and their distances."""
+    book = """
+b{k} AS MATERIALIZED (
+  SELECT b.p, b.e, CASE WHEN n > 0 THEN list_transform(s, lambda v: CAST(floor(v / n) AS BIGINT)) ELSE b.x END AS x
+  FROM b{j} b LEFT JOIN (
+    SELECT p, e, max(n) AS n, list(v ORDER BY i) AS s
+    FROM (SELECT p, e, i, sum(x[i]) AS v, count(*) AS n FROM a{j} a, range(1, 9) r(i) GROUP BY ALL) GROUP BY p, e) USING (p, e)),"""
+    assigned = """
+a{j} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, least_of.e AS e, least_of.d AS d FROM (
+    SELECT vec_id, label, p, x, min(struct_pack(d := d, e := e)) AS least_of FROM (
+      SELECT a.*, b.e, list_sum(list_transform(range(1, 9), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) AS d
+      FROM parts a JOIN b{j} b USING (p)) GROUP BY ALL)),"""
+    steps = "".join(assigned.format(j=k) + book.format(j=k, k=k + 1) for k in range(rounds)) + assigned.format(j=rounds)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, x[8 * p + 1:8 * p + 8] AS x FROM kept, range(8) r(p)),
+b0 AS MATERIALIZED (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS BIGINT) AS e, x
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),
+{steps}
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book
+"""
+
+
 OP13 = r"""
 WITH units AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
@@ -120,5 +152,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3,
     "op1_near_dedup": OP1,
     "op10_chat_format": OP10,
+    "op12_vector_codes": op12(),
     "op13_fill_middle": OP13,
 }
