@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, common, decontaminate, fill_middle, language_id, near_dedup, pii, substring_dedup, token_counts, token_output, topk_search, vector_codes
+from . import bpe_codec, chat_format, common, decontaminate, fill_middle, language_id, near_dedup, pii, source_mix, substring_dedup, token_counts, token_output, topk_search, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
     return made.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_source_mix": op11_source_mix,
     "op12_vector_codes": op12_vector_codes,
     "op13_fill_middle": op13_fill_middle,
 }

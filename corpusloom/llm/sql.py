@@ -94,6 +94,56 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, count(DISTINCT struct_pack(doc_id := doc_id, place := place)) AS n_rows,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM docs GROUP BY source),
+weighted AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS w FROM sources),
+levels AS (
+  SELECT *, CAST(3 * s AS DOUBLE) / w AS level, sum(s) OVER () AS words, sum(w) OVER () AS w_all,
+         coalesce(sum(3 * s) OVER o, 0) AS stopped, coalesce(sum(w) OVER o, 0) AS w_before
+  FROM weighted WINDOW o AS (ORDER BY CAST(3 * s AS DOUBLE) / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first AS (
+  SELECT words - stopped AS rest, w_all - w_before AS open FROM levels
+  WHERE level >= CAST(words - stopped AS DOUBLE) / (w_all - w_before) ORDER BY level, rank LIMIT 1),
+targets AS (
+  SELECT source, rank, s, least(CAST(3 * s AS DOUBLE), CAST(w * rest AS DOUBLE) / open) AS target,
+         greatest(1, ceil(s / 4194304.0), ceil(n_rows / 262144.0)) AS shards
+  FROM levels, first),
+placed AS (
+  SELECT d.*, t.rank, t.s, t.target, CAST(CAST('0x' || place[1:8] AS BIGINT) % t.shards AS BIGINT) AS shard
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+cells AS (
+  SELECT *, CASE WHEN words > 0 THEN CAST(floor(target / s * n * 1000000) AS BIGINT) ELSE 0 END AS votes,
+         CAST('0x' || md5('1:' || rank || ':' || shard)[1:8] AS BIGINT) % greatest(n, 1) AS start
+  FROM (SELECT rank, shard, s, target, sum(size) AS words, CAST(ceil(sum(size) / 32.0) AS BIGINT) AS n FROM placed GROUP BY ALL)),
+seats AS (SELECT rank, shard, unnest(range(1, 3 * n + 1)) AS i, votes FROM cells),
+won AS (
+  SELECT rank, shard, count(*) AS quota FROM (
+    SELECT *, row_number() OVER (ORDER BY votes / (i - 0.5) DESC, rank, shard, i) AS nth FROM seats)
+  WHERE nth <= (SELECT (sum(votes) + 500000) // 1000000 FROM cells) GROUP BY ALL),
+drawn AS (
+  SELECT rank, shard, n, start, coalesce(quota, 0) // greatest(n, 1) AS laps, coalesce(quota, 0) % greatest(n, 1) AS extra
+  FROM cells LEFT JOIN won USING (rank, shard)),
+ordered AS (
+  SELECT p.*, n, start, laps, extra, coalesce(sum(size) OVER (PARTITION BY rank, shard ORDER BY place, doc_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM placed p JOIN drawn USING (rank, shard)),
+blocks AS (
+  SELECT *, CAST(a + size AS BIGINT) AS z, CAST(a // 32 AS BIGINT) AS i, CAST((a + size) // 32 AS BIGINT) AS j, greatest(n, 1) AS m FROM ordered)
+SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target,
+       CAST(laps * size
+            + 32 * ((j * extra + start) // m) + CASE WHEN ((j + 1) * extra + start) // m > (j * extra + start) // m THEN z % 32 ELSE 0 END
+            - 32 * ((i * extra + start) // m) - CASE WHEN ((i + 1) * extra + start) // m > (i * extra + start) // m THEN a % 32 ELSE 0 END AS BIGINT) AS taken
+FROM blocks
+"""
+
+
 def op12(rounds: int = 6) -> str:
     """Lloyd's rounds one after the other; of each part the 16 entries and their distances."""
     book = """
@@ -152,6 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3,
     "op1_near_dedup": OP1,
     "op10_chat_format": OP10,
+    "op11_source_mix": OP11,
     "op12_vector_codes": op12(),
     "op13_fill_middle": OP13,
 }

@@ -26,17 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kd_tree
-from .common import done_with, lean, settled
+from .common import done_with, lean, settled, with_facts
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Components of a block's vectors, at most (8 MB as integers).
 BLOCK = 1 << 20
-#: Distinct labels whose sums are broadcast; with more, they are joined by a salted key.
-LABELS, SALTS = 100_000, 32
 
 RESULT = {"code": "string", "error": "long", "label_error": "long", "codebooks_sha256": "string"}
 TREES = "vec_ids array<long>, labels array<string>, width int, orders array<binary>, points array<binary>, low array<binary>, high array<binary>, sums array<binary>"
@@ -200,17 +198,11 @@ def digest(books: np.ndarray) -> str:
 
 
 def with_label_errors(coded: DataFrame) -> DataFrame:
-    """coded with label_error, the sum of errors over equal labels, nulls together. Sums are made before rows
-    meet them; a label of any number of rows is spread over SALTS keys where sums are too many to broadcast."""
-    sums = settled(coded.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("total")), "label-errors")
-    same = F.col("label").eqNullSafe(F.col("of"))
-    if sums.limit(LABELS + 1).count() <= LABELS:
-        met = coded.join(F.broadcast(sums), same)
-    else:
-        salt: Column = F.pmod(F.xxhash64("vec_id", "code"), F.lit(SALTS))
-        spread = sums.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-        met = coded.withColumn("salt", salt).join(spread, same & (F.col("salt") == F.col("salt_")))
-    return met.withColumn("label_error", F.expr("try_cast(total AS long)")).select("vec_id", "label", "code", "error", "label_error")
+    """coded with label_error, the sum of errors over equal labels, nulls together. Sums are made before rows meet them."""
+    total = F.sum(F.col("error").cast("decimal(38,0)")).alias("total")
+    sums = settled(coded.groupBy("label").agg(total), "label-errors")
+    met = with_facts(coded, sums, "label", F.struct("vec_id", "code"))
+    return met.withColumn("label_error", F.expr("try_cast(total AS long)")).drop("total")
 
 
 def compressed(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
