@@ -110,6 +110,6 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, salt: Column) -> Dat
     same = F.col(key).eqNullSafe(F.col("key_"))
     if facts.limit(FACTS + 1).count() <= FACTS:
         return rows.join(F.broadcast(other), same).drop("key_")
-    spread = other.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    spread = other.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
     return dealt.join(spread, same & (F.col("salt") == F.col("salt_"))).drop("key_", "salt", "salt_")
