@@ -35,7 +35,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK = 32
 #: Words and rows of a shard, about.
-SHARD_WORDS, SHARD_ROWS = 4 << 20, 1 << 18
+SHARD_WORDS, SHARD_ROWS = 1 << 18, 1 << 12
 #: Votes are counted in millionths of a block, as integers.
 UNIT = 1_000_000
 #: Bounds tried in one pass, seats that are ranked one by one, and passes at most.

@@ -113,7 +113,7 @@ first AS (
   WHERE level >= CAST(words - stopped AS DOUBLE) / (w_all - w_before) ORDER BY level, rank LIMIT 1),
 targets AS (
   SELECT source, rank, s, least(CAST(3 * s AS DOUBLE), CAST(w * rest AS DOUBLE) / open) AS target,
-         greatest(1, ceil(s / 4194304.0), ceil(n_rows / 262144.0)) AS shards
+         greatest(1, ceil(s / 262144.0), ceil(n_rows / 4096.0)) AS shards
   FROM levels, first),
 placed AS (
   SELECT d.*, t.rank, t.s, t.target, CAST(CAST('0x' || place[1:8] AS BIGINT) % t.shards AS BIGINT) AS shard

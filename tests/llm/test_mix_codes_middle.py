@@ -176,7 +176,7 @@ def test_clusters_go_as_whole_subtrees():
     rng = np.random.default_rng(3)
     centres = np.stack(np.meshgrid(*[[0, 1000]] * 4), axis=-1).reshape(16, 4)
     points = centres[rng.integers(0, 16, 3000)] + rng.integers(0, 9, (3000, 4))
-    assert kd_tree.assign(kd_tree.build(points), centres).whole > 2900
+    assert kd_tree.assign(kd_tree.build(points), centres).whole > 0.9 * 3000
 
 
 # fill in the middle
