@@ -102,14 +102,14 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 FACTS, SALTS = 100_000, 32
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, salt: Column) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
     """rows with the columns of facts, which holds one row for each value of key (null is a value) and is cheap to read
     again. A key may hold any share of the rows: facts of few keys are broadcast, else each is copied to SALTS
     keys and the rows of a key are dealt over them by `salt`."""
     other = facts.withColumnRenamed(key, "key_")
     same = F.col(key).eqNullSafe(F.col("key_"))
     if facts.limit(FACTS + 1).count() <= FACTS:
-        return rows.join(F.broadcast(other), same).drop("key_")
+        return rows.join(F.broadcast(other), same, how).drop("key_")
     spread = other.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
-    return dealt.join(spread, same & (F.col("salt") == F.col("salt_"))).drop("key_", "salt", "salt_")
+    return dealt.join(spread, same & (F.col("salt") == F.col("salt_")), how).drop("key_", "salt", "salt_")

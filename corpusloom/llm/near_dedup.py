@@ -22,7 +22,8 @@ So each pair that meets in a table is either linked through others or ruled out
 is the only one. No pairs of a group are listed. A list of more than LIST shingles is dealt to several tasks: members of
 its largest component go to one block each, the others to all, as only pairs across components matter.
 
-Defined results: a document without words links with nothing; rows of one doc_id are one vertex; documents
+Defined results: a document without words links with nothing; rows of one doc_id are one vertex: each of its texts is
+compared by its own set, and all of them are one component; documents
 with a null doc_id are told apart by their texts, and a component of such documents only has a null component_id, of which
 one text is kept; repeated rows give repeated results. Only doc_id and text are read.
 """
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged, shingles
-from .common import document_key, done_with, lean, settled
+from .common import document_key, done_with, lean, settled, with_facts
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -66,6 +67,11 @@ def sketch(shingle_set: np.ndarray) -> np.ndarray:
     return (least & np.uint32(0xFFFF)).astype("<u2").view("<u8")
 
 
+def class_of(shingle_set: bytes) -> bytes:
+    """The name of all documents with this set."""
+    return hashlib.blake2b(shingle_set, digest_size=16).digest()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """key, doc_id, n_shingles, class (null without words) and sketch of each row of docs (key, doc_id, text)."""
 
@@ -74,7 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             at = 0
             for part in ragged.slices(ragged.strings(batch.column(2))):
                 found = shingles.sets(part)
-                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+                names = [class_of(s.tobytes()) if len(s) else None for s in found]
                 values = np.concatenate([np.zeros(0, "<u8"), *(sketch(s) for s in found if len(s))]).view(np.int64)
                 sizes = np.where([len(s) > 0 for s in found], 2 * BANDS, 0)
                 ids = [batch.column(k).slice(at, len(part)) for k in (0, 1)]
@@ -86,17 +92,18 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc and the whole shingle set, as bytes, of each row of docs (key, text)."""
+    """key, class and the whole shingle set, as bytes, of each row of docs (key, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in ragged.slices(ragged.strings(batch.column(1))):
                 found = [s.tobytes() for s in shingles.sets(part)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(found, pa.binary())], ["doc", "shingles"])
+                names = [class_of(s) for s in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(names, pa.binary()), pa.array(found, pa.binary())], ["key", "class", "shingles"])
                 at += len(part)
 
-    return docs.select("key", "text").mapInArrow(lean(each), "doc long, shingles binary")
+    return docs.select("key", "text").mapInArrow(lean(each), "key long, class binary, shingles binary")
 
 
 def shared(rows: DataFrame, *key: str) -> DataFrame:
@@ -381,18 +388,50 @@ def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return grouped(docs, near).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def with_several_texts(rows: DataFrame) -> DataFrame | None:
+    """key and low, the least class, of the keys that rows (key, class) have under several classes; None without such."""
+    span = rows.where("class IS NOT NULL").groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    found = settled(span.where("low <> high").select("key", "low"), "several-texts")
+    return None if found.isEmpty() else found
+
+
+def vertices(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rows (key, class) with `doc`, the vertex of a class that is represented by this key: the key, or, for all classes but one
+    of a key with several, a negative number made from the class."""
+    if repeated is None:
+        return rows.withColumn("doc", F.col("key"))
+    other = -F.shiftrightunsigned(F.xxhash64("class"), 1) - 1
+    met = with_facts(rows, repeated, "key", F.col("class"), "left")
+    return met.withColumn("doc", F.when(F.col("low").isNull() | (F.col("low") == F.col("class")), F.col("key")).otherwise(other)).drop("low")
+
+
+def one_document(rows: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """a, b: links between the classes that one document has."""
+    own = with_facts(rows.select("key", "class").distinct(), repeated, "key", F.col("class")).select("key", "class")
+    of = settled(own.join(classes.select("class", "doc"), "class").select("key", "doc"), "own")
+    least = of.groupBy("key").agg(F.min("doc").alias("least"))
+    return with_facts(of, least, "key", F.col("doc")).where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+
+
 def grouped(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """near_duplicates() with document keys: key, doc_id, n_shingles, component_id and kept."""
     docs = docs.select(document_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = settled(sketches(docs), "sketches")
     least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("key", "sketch")).alias("least"), F.min("doc_id").alias("id"))
-    classes = settled(least.select("class", "id", F.col("least.key").alias("doc"), F.col("least.sketch").alias("sketch")), "classes")
+    repeated = with_several_texts(rows)
+    named = vertices(least.select("class", "id", F.col("least.key").alias("key"), F.col("least.sketch").alias("sketch")), repeated)
+    classes = settled(named.select("class", "id", "key", "doc", "sketch"), "classes")
     members = settled(buckets(classes), "buckets")
-    candidates = docs.join(members.select(F.col("doc").alias("key")).distinct(), "key", "left_semi")
-    sets = settled(full_sets(candidates).groupBy("doc").agg(F.max("shingles").alias("shingles")), "sets")
+    met = members.select("doc").distinct()
+    met = met.withColumnRenamed("doc", "key") if repeated is None else classes.join(met, "doc", "left_semi").select("key").distinct()
+    candidates = vertices(full_sets(docs.join(met, "key", "left_semi")), repeated)
+    sets = settled(candidates.groupBy("doc").agg(F.max("shingles").alias("shingles")), "sets")
 
     opened = members.withColumn("component", F.col("doc"))
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    if repeated is not None:
+        labels = merged(labels, settled(one_document(rows, classes, repeated), "own"))
+        opened = settled(several(labelled(members, labels), "bucket"), "open")
     for turn in range(ROUNDS):
         links = settled(confirmed(with_pivots(opened, turn), sets, near), "links")
         labels = merged(labels, links)

@@ -82,3 +82,16 @@ def test_ids_of_any_size(spark):
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     low = str(top - 1)
     assert got == sorted([(str(top), low, False), (low, low, True), ("-5", "-5", True), ("None", low, False), ("None", "None", True), ("None", "None", True)])
+
+
+def test_ids_with_several_texts(spark):
+    """Every text of an id keeps its own links, whichever of them represents its class."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (0, c), (5, c + " z"), (5, text("d")), (6, text("d") + " w"), (7, text("e")), (7, text("e")), (8, None), (8, text("f")), (9, text("f"))]
+    rows += [(20, text(f"g{k}")) for k in range(30)] + [(100 + k, text(f"g{k}") + " q") for k in range(30)]
+    got = {}
+    for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    want = {1: {1}, 2: {1}, 3: {1}, 0: {0}, 5: {0}, 6: {0}, 7: {7}, 9: {8}, 20: {20}, **{100 + k: {20} for k in range(30)}}
+    assert got.pop(8) == {8} and got == want
