@@ -97,9 +97,14 @@ def escape(text: Column) -> Column:
     return text
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def below_title(path: Column, title: Column) -> Column:
     """The heading path without a first element that repeats the title."""
-    same = F.lower(F.trim(F.get(path, F.lit(0)))) == F.lower(F.trim(title))
+    same = F.lower(stripped(F.get(path, F.lit(0)))) == F.lower(stripped(title))
     return F.when(same, F.slice(path, 2, F.greatest(F.size(path), F.lit(1)))).otherwise(path)
 
 
@@ -137,15 +142,15 @@ def clean_spaces(text: Column) -> Column:
 
 def readable(line: Column) -> Column:
     """A table row as its cells joined by commas, without rule cells; else the line without list marks."""
-    stripped = F.regexp_replace(line, r"^\s+|\s+$", "")
-    cells = filled(F.split(F.regexp_replace(stripped, r"^\|+|\|+$", ""), r"\|"))
+    line = stripped(line)
+    cells = filled(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"))
     row = F.array_join(F.filter(cells, lambda c: ~c.rlike(r"^[-: ]*$")), ", ")
-    return F.when(stripped.startswith("|") & stripped.endswith("|"), row).otherwise(F.trim(F.regexp_replace(stripped, r"^[-*# ]+", "")))
+    return F.when(line.startswith("|") & line.endswith("|"), row).otherwise(stripped(F.regexp_replace(line, r"^[-*# ]+", "")))
 
 
 def title_from_filename(path: Column) -> Column:
     base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    title = F.initcap(F.trim(F.regexp_replace(base, r"[-_]+", " ")))
+    title = F.initcap(stripped(F.regexp_replace(base, r"[-_]+", " ")))
     return F.when(title == "", "Untitled").otherwise(title)
 
 

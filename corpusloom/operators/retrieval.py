@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+from .vectors import best, nearest
+
 RRF_K = 60
 
 
@@ -20,12 +22,6 @@ def query_terms(question: Column) -> Column:
     return F.array_distinct(F.filter(T.tokens(question), lambda t: ~t.isin(T.STOPWORDS) & (F.length(t) >= 2)))
 
 
-def best(rows: DataFrame, k: int, score: str = "score", group: str = "query_id", tie: str = "chunk_id") -> DataFrame:
-    """The k best rows of each group with their rank; ties by id. Plans as a group limit before the shuffle."""
-    order = Window.partitionBy(group).orderBy(F.desc(score), tie)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """term, chunk_id, collection_id, n: how often each stem occurs in each chunk; with `wanted` (term) only stems of
     those, the others going before anything is counted or shuffled."""
@@ -63,15 +59,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector(questions: DataFrame, vectors: DataFrame, allowed: DataFrame, k: int = 40) -> DataFrame:
-    """query_id, chunk_id, score, rank: exact nearest chunks by cosine, of the same model, in allowed collections.
-
-    questions: query_id, sub, model, embedding. The question set is the stated small side; norms are
-    computed once a vector."""
-    q = questions.select("query_id", "sub", "model", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("q_norm"))
-    v = vectors.select("chunk_id", "collection_id", "model", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("v_norm"))
-    may = q.join(allowed.select("sub", "collection_id").distinct(), "sub")
-    scored = may.join(v, ["model", "collection_id"]).select("query_id", "chunk_id", (dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("v_norm"))).alias("score"))
-    return best(scored, k)
+    """query_id, chunk_id, score, rank: exact nearest chunks by cosine, of the same model, in allowed collections: see vectors.nearest()."""
+    return nearest(questions, vectors, allowed, k)
 
 
 def fused(by_vector: DataFrame, by_terms: DataFrame, keep: int = 20, k: int = RRF_K) -> DataFrame:

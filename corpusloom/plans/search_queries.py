@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import access, retrieval
+from corpusloom.operators import access, retrieval, vector_index
+from corpusloom.sources import tables
 
 from . import domain as D
 from . import sqltext as S
@@ -137,6 +138,14 @@ def v1_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector(vector_questions(spark, sf_dir), vectors(spark, sf_dir), readable(spark)).withColumn("score", F.round("score", 6))
 
 
+@query()
+def v3_ann_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of v1 over an index of all vectors: nearly the same rows."""
+    path = tables.shared_path(spark, "vector-index")
+    vector_index.build(vectors(spark, sf_dir), path)
+    return vector_index.search(path, vector_questions(spark, sf_dir), readable(spark))
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have an embedding, as chunks: chunk_id, document_id, collection_id, text, model, embedding."""
     docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("collection_id"), "text")

@@ -527,13 +527,15 @@ def t27_readable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'), ' ') AS title, url FROM pages)
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Part' || ' > ' || url ELSE title || ' x > Part > ' || url END AS label FROM h
+WITH h AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'), ' ') AS title, url FROM pages),
+p AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN chr(9) || translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || chr(10) ELSE title || ' x' END AS first FROM h)
+SELECT page_id, CASE WHEN lower(regexp_replace(first, '^\\s+|\\s+$', '', 'g')) = lower(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) THEN 'Part > ' || url ELSE first || ' > Part > ' || url END AS label FROM p
 """)
 def t16_section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths that begin with the page's title, or with something else."""
+    """Paths that begin with the page's title, in capitals and with white space around it, or with something else."""
     title = web.page_title(F.col("html"))
-    first = F.when(F.col("page_id") % 2 == 0, F.upper(title)).otherwise(F.concat(title, F.lit(" x")))
+    capitals = F.translate(title, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    first = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("\t"), capitals, F.lit("\n"))).otherwise(F.concat(title, F.lit(" x")))
     return D.table(spark, sf_dir, "pages").select("page_id", T.section_label(F.array(first, F.lit("Part"), F.col("url")), title).alias("label"))
 
 
