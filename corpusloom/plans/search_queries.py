@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import stemming
 from corpusloom.functions import text as T
-from corpusloom.operators import access, retrieval, vector_index
+from corpusloom.operators import access, lexical_index, retrieval, vector_index
 from corpusloom.sources import tables
 
 from . import domain as D
@@ -104,8 +105,38 @@ lexical AS (
          row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 40)"""
 
 
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def lexical_index_of(spark: SparkSession, sf_dir: str) -> str:
+    """The index of all chunks of a folder of tables, built when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        path = tables.shared_path(spark, "lexical-index")
+        lexical_index.build(D.chunks(spark, sf_dir), path)
+        INDEXES[key] = path
+    return INDEXES[key]
+
+
+@query(f"""
+WITH {D.CHUNKS_SQL}, words AS (SELECT chunk_id, unnest({S.content_terms("text")}) AS term FROM chunks),
+postings AS (SELECT chunk_id, term, count(*) AS n FROM words GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS total, max(n) AS most FROM postings GROUP BY term
+""")
+def l2_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the stored index."""
+    return lexical_index.terms(spark, lexical_index_of(spark, sf_dir))
+
+
+@query()
+def l3_english_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, how often they occur, and their English stems."""
+    words = D.table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.withColumn("stem", stemming.english_stem(F.col("word")))
+
+
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.lexical(D.questions(spark, sf_dir), D.chunks(spark, sf_dir), readable(spark))
+    return lexical_index.search(lexical_index_of(spark, sf_dir), D.questions(spark, sf_dir), readable(spark))
 
 
 @query(f"WITH {LEXICAL_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lexical")
