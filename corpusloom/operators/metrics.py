@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import scans
+
 
 def page_match(pages: Column, start: Column, end: Column) -> Column:
     """Whether a chunk's page range meets the wanted pages; no pages, or a chunk without one, match anything."""
@@ -158,7 +160,7 @@ def compare_runs(before: DataFrame, after: DataFrame, least: float = 0.001) -> D
 
 
 def previous_run(runs: DataFrame, metric: str) -> DataFrame:
-    """Each run with the metric of the latest earlier finished run of its mode, and the difference."""
-    earlier = Window.partitionBy("mode").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.last(F.when(F.col("status") == "done", F.col(metric)), ignorenulls=True).over(earlier)
-    return runs.withColumn("previous", previous).withColumn("delta", F.round(F.col(metric) - F.col("previous"), 4))
+    """Each run with the metric of the latest earlier finished run of its mode, and the difference. A mode may have any number of runs."""
+    done = F.when(F.col("status") == "done", F.col(metric))
+    found = scans.with_last_before(runs, ["mode"], ["started_at", "run_id"], done, "previous")
+    return found.withColumn("delta", F.round(F.col(metric) - F.col("previous"), 4))

@@ -164,6 +164,41 @@ def w5_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.histogram(D.table(spark, sf_dir, "events"), "value", [1, 10, 100], "event_type")
 
 
+# a counter of each event type that begins again after five hundred events of all types
+@query("""
+WITH s AS (SELECT event_type, event_id, ts, CAST(event_id % 500 AS DOUBLE) AS value FROM events),
+p AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM s),
+i AS (SELECT event_type, ts, CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END AS increase FROM p),
+w AS (SELECT event_type, increase, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start FROM i, range(4) r(k))
+SELECT event_type, strftime(start, '%Y-%m-%d %H:%M') AS start, round(sum(increase), 6) AS increase, round(sum(increase) / 3600, 9) AS rate FROM w GROUP BY ALL
+""")
+def w6_counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counters gain in an hour, every quarter of an hour, over resets."""
+    e = D.table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("sample_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 500).cast("double").alias("value"))
+    found = analytics.counter_rates(e, ["event_type"], "1 hour", "15 minutes", 3600)
+    return found.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.round("increase", 6).alias("increase"), F.round("rate", 9).alias("rate"))
+
+
+EDGES = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0]
+
+
+@query("""
+WITH e AS (SELECT event_type AS step, user_id % 3 AS route, value, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start FROM events, range(4) r(k)),
+b AS (SELECT step, route, start, unnest([1.0, 5, 10, 25, 50, 100, 'inf'::DOUBLE]::DOUBLE[]) AS le, value FROM e),
+c AS (SELECT step, route, start, le, CAST(count(*) FILTER (value <= le) AS DOUBLE) / 86400 AS rate FROM b GROUP BY ALL),
+n AS (SELECT *, max(rate) OVER g AS total, lag(le, 1, 0) OVER (g ORDER BY le) AS low, lag(rate, 1, 0) OVER (g ORDER BY le) AS below FROM c WINDOW g AS (PARTITION BY step, route, start)),
+h AS (SELECT step, route, start, first(low ORDER BY le) AS low, first(le ORDER BY le) AS le, first(below ORDER BY le) AS below, first(rate ORDER BY le) AS rate, first(total) AS total FROM n WHERE rate >= 0.95::DOUBLE * total GROUP BY ALL)
+SELECT step, route, strftime(start, '%Y-%m-%d %H:%M') AS start, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95::DOUBLE * total - below) / (rate - below) END, 6) AS quantile FROM h
+""")
+def w6_step_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 0.95 quantile of a day's values by step and route, every six hours, from bucket rates."""
+    e = D.table(spark, sf_dir, "events").select(F.col("event_type").alias("step"), (F.col("user_id") % 3).alias("route"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    counted = e.groupBy("step", "route", F.window("ts", "1 day", "6 hours").start.alias("start")).agg(F.count_if(F.lit(True)).alias("n"), *(F.count_if(F.col("value") <= x).alias(f"le_{k}") for k, x in enumerate(EDGES)))
+    rates = counted.select("step", "route", "start", F.explode(F.arrays_zip(F.array(*map(F.lit, [*EDGES, float("inf")])).alias("le"), F.array(*(F.col(f"le_{k}") for k in range(len(EDGES))), "n").alias("c"))).alias("x"))
+    rows = rates.select("step", "route", "start", F.col("x.le").alias("le"), (F.col("x.c").cast("double") / 86400).alias("rate"))
+    return analytics.bucket_quantile(rows, ["step", "route", "start"], 0.95).select("step", "route", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.round("quantile", 6).alias("quantile"))
+
+
 # ranked vectors judged by their labels: an item is a label's first three vectors
 EVAL_SQL = f"""{VECTOR_SQL},
 relevant AS (SELECT q.query_id, v.chunk_id AS item, v.chunk_id AS document_id, CASE WHEN v.chunk_id % 3 = 0 THEN NULL ELSE [v.chunk_id % 5] END AS pages

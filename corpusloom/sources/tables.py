@@ -35,9 +35,12 @@ def few(df: DataFrame, most: int = FACTS) -> bool:
 
 
 def matched(rows: DataFrame, facts: DataFrame, key: str, salt: Column) -> DataFrame:
-    """rows joined with facts on key. A key may hold any share of the rows: a few facts are broadcast, else each is copied to
-    SALTS keys over which `salt` deals the rows. facts should be cheap to read again."""
+    """rows joined with facts on key, null being a value. A key may hold any share of the rows: a few facts are broadcast, else each
+    is copied to SALTS keys over which `salt` deals the rows. facts should be cheap to read again."""
+    other = facts.withColumnRenamed(key, "key_")
+    same = F.col(key).eqNullSafe(F.col("key_"))
     if few(facts):
-        return rows.join(F.broadcast(facts), key)
-    spread = facts.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("salt_", F.pmod(F.xxhash64(salt), F.lit(SALTS))).join(spread, [key, "salt_"]).drop("salt_")
+        return rows.join(F.broadcast(other), same).drop("key_")
+    spread = other.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = rows.withColumn("dealt_", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    return salted.join(spread, same & (F.col("dealt_") == F.col("salt_"))).drop("key_", "dealt_", "salt_")
