@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import analytics, answers, chat, lifecycle, listings, metrics, retrieval, search
-from corpusloom.sources import files, parsers, web
+from corpusloom.sources import files, parsers, sinks, snapshots, tables, web
 
 from . import domain as D
 from . import sqltext as S
@@ -274,6 +274,15 @@ def i8_swapped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.swapped(existing, rows, "m").select("doc_id", "ordinal", "content_hash", "model")
 
 
+@query(SQL["i8_swapped_chunks"])
+def i8_committed_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same swap as a commit to a table of snapshots, read back."""
+    existing, rows = staged(spark, sf_dir)
+    path = tables.shared_path(spark, "chunks")
+    snapshots.create(existing.select("doc_id", "ordinal", "content_hash", "text", "model", "embedding"), path)
+    return snapshots.read(spark, path, sinks.swap_documents(rows, path, "m")).select("doc_id", "ordinal", "content_hash", "model")
+
+
 @query("SELECT user_id AS doc_id, arg_max(event_id, (ts, event_id)) AS job_id FROM events GROUP BY 1")
 def i7_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = D.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("job_id"), F.col("ts").alias("started_at"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import lifecycle
+from corpusloom.sources import snapshots
+
 
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     """Writes rows in place of the partitions that they have values of; other partitions stay. Spark writes to a staging folder
@@ -13,10 +16,19 @@ def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
 
 
 def swap_chunks(rows: DataFrame, path: str) -> None:
-    """The chunks of whole collections (collection_id) as lifecycle.swapped() has them, in place of those collections' former ones."""
+    """The chunks of whole collections (collection_id), in place of those collections' former ones. rows must not be read from path
+    itself, and there is one writer: swap_documents() is for all else."""
     replace_partitions(rows.repartition("collection_id", "doc_id"), path, "collection_id")
 
 
+def swap_documents(rows: DataFrame, path: str, model: str) -> int:
+    """Swaps the chunks of a table of snapshots (see snapshots.py): documents whose staged rows (of lifecycle.staged(), embedded) are
+    complete get these in one commit, all others keep what they have. The new version."""
+    ready = lifecycle.remaining(rows).where("remaining = 0").select("doc_id")
+    new = rows.select("doc_id", "ordinal", "content_hash", "text", F.lit(model).alias("model"), "embedding")
+    return snapshots.replace(rows.sparkSession, path, ready, new)
+
+
 def append_logs(logs: DataFrame, path: str) -> None:
     """Query logs (created_at and whatever else), appended by day."""
     logs.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
