@@ -30,12 +30,13 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, kind: str) -> DataFrame:
+def settled(df: DataFrame, kind: str, by: str | None = None) -> DataFrame:
     """The rows of df, written once to the shared folder and read back, so that later
-    stages neither recompute them nor depend on the executors that made them."""
+    stages neither recompute them nor depend on the executors that made them. by: a column that later filters name, in
+    folders of its own."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,7 +44,7 @@ def done_with(*tables: DataFrame) -> None:
     """Removes tables that settled() wrote and nothing will read again. Tables of other origin stay."""
     for df in tables:
         spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for folder in {re.sub(r"/\w+=[^/]*$", "", f.rsplit("/", 1)[0]) for f in df.inputFiles()}:
             if not re.search(r"/[a-z-]+-[0-9a-f]{32}$", folder):
                 continue
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -46,7 +46,7 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    shards = common.settled(topk_search.index(docs), "shards")
+    shards = common.settled(topk_search.index(docs), "shards", "wave")
     return topk_search.search(shards, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
 
 
