@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
-# Words that point back, and how follow-up questions begin.
+# Words that point back, how follow-up questions begin, and what isn't left at an end.
 PRONOUNS = ["he", "it", "its", "she", "that", "them", "there", "these", "they", "this", "those"]
-OPENING = r"(?i)^(and|what about|how about|and what about|also|ok,?|so)\s+"
+OPENING = "and|what about|how about|and what about|also|ok,?|so"
+LOOSE = "(?:in|for|at|of)"
 FOLLOW_UP_TERMS = 5
 MODEL_PLACES = 6
 SNIPPET = 400
@@ -20,18 +21,18 @@ def standalone(question: Column, previous: Column) -> Column:
     """A question as it can be asked alone. One with five content terms and no pronoun stays, as does one without a question
     before. Another becomes the earlier question and, behind a dash, what the new one asks. If the new one names
     something, names of the earlier one that it doesn't repeat go, and a preposition that this leaves at the end."""
-    points_back = F.exists(F.regexp_extract_all(F.lower(question), F.lit("[a-z']+"), F.lit(0)), lambda w: w.isin(PRONOUNS))
-    complete = (F.size(T.content_terms(question)) >= FOLLOW_UP_TERMS) & ~points_back
-    core = F.trim(F.regexp_replace(F.regexp_replace(F.trim(question), OPENING, ""), r"\?+$", ""))
-    named = F.regexp_extract_all(core, F.lit(r"\b[A-Z][\w-]*\b"), F.lit(0))
-    bare = lambda w: F.regexp_replace(w, r"^[,.;:]+|[,.;:]+$", "")
-    other_name = lambda w: bare(w).rlike(r"^\p{Lu}") & ~F.array_contains(named, bare(w))
+    # what is asked now: behind an opening, before question marks
+    now = F.trim(F.regexp_extract(F.trim(question), f"(?is)^(?:(?:{OPENING})\\s+)?(.*?)[?]*$", 1))
+    names = F.regexp_extract_all(now, F.lit(r"\b[A-Z][\w-]*\b"), F.lit(0))
+    plain = lambda w: F.regexp_replace(w, r"^[,.;:]+|[,.;:]+$", "")
     words = T.filled(F.split(F.regexp_replace(previous, r"\?+$", ""), r"\s+"))
-    kept = F.filter(words, lambda w, i: (i == 0) | (F.size(named) == 0) | ~other_name(w))
-    base = F.array_join(kept, " ")
-    for end in (r"\b(in|for|at|of) the$", r"\b(in|for|at|of)$"):
-        base = F.trim(F.regexp_replace(base, end, ""))
-    return F.when(complete | (F.coalesce(previous, F.lit("")) == ""), question).otherwise(F.concat(base, F.lit(" - "), core, F.lit("?")))
+    # names of the earlier question that give way, wherever they stand but at its head
+    former = F.filter(F.transform(words, plain), lambda w: w.rlike(r"^\p{Lu}") & ~F.array_contains(names, w) & (F.size(names) > 0))
+    left = F.array_join(F.filter(words, lambda w, place: (place < 1) | ~F.array_contains(former, plain(w))), " ")
+    frame = F.trim(F.regexp_replace(left, rf"(?:\b{LOOSE}\s*)?(?:\b{LOOSE} the)?$", ""))
+    spoken = F.regexp_extract_all(F.lower(question), F.lit("[a-z']+"), F.lit(0))
+    alone = (F.size(T.content_terms(question)) >= FOLLOW_UP_TERMS) & ~F.arrays_overlap(spoken, F.array(*map(F.lit, PRONOUNS)))
+    return F.when(alone | (F.coalesce(previous, F.lit("")) == ""), question).otherwise(F.concat(frame, F.lit(" - "), now, F.lit("?")))
 
 
 def with_previous(turns: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stemming
@@ -266,14 +266,16 @@ def d2_document_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.capped(hydrated(spark, sf_dir)).select("query_id", "chunk_id", "document_id", "rank")
 
 
+def relevance() -> Column:
+    """Rerank scores as shares of the query's best, or of 1 where that is 0."""
+    top = F.max("rerank_score").over(Window.partitionBy("query_id"))
+    return F.col("rerank_score") / F.coalesce(F.nullif(top, F.lit(0.0)), F.lit(1.0))
+
+
 @query()
 def d1_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = retrieval.reranked(hydrated(spark, sf_dir))
-    from pyspark.sql import Window
-
-    top = F.max("rerank_score").over(Window.partitionBy("query_id"))
-    relevance = F.col("rerank_score") / F.coalesce(F.nullif(top, F.lit(0.0)), F.lit(1.0))
-    rows = ranked.select("query_id", "chunk_id", "document_id", F.col("rerank_rank").alias("place_in"), relevance.alias("relevance"), F.col("passage_terms").alias("terms"))
+    rows = ranked.select("query_id", "chunk_id", "document_id", F.col("rerank_rank").alias("place_in"), relevance().alias("relevance"), F.col("passage_terms").alias("terms"))
     return retrieval.diversified(rows)
 
 
@@ -303,5 +305,5 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = retrieval.fused(retrieval.vector(q, v, may), retrieval.lexical(q, c, may))
     found = both.join(c.select("chunk_id", "document_id", "text"), "chunk_id").join(q.select("query_id", "question"), "query_id")
     ranked = retrieval.reranked(found.select("query_id", "chunk_id", "document_id", "rank", T.content_terms(F.col("question")).alias("question_terms"), T.content_terms(F.col("text")).alias("passage_terms")))
-    rows = ranked.select("query_id", "chunk_id", "document_id", F.col("rerank_rank").alias("place_in"), F.col("rerank_score").alias("relevance"), F.col("passage_terms").alias("terms"))
+    rows = ranked.select("query_id", "chunk_id", "document_id", F.col("rerank_rank").alias("place_in"), relevance().alias("relevance"), F.col("passage_terms").alias("terms"))
     return retrieval.diversified(rows)

@@ -16,6 +16,7 @@ from . import parsers
 PAGE = "<<<PAGE>>>"
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DOCX = parsers.READ[4]
+IN_CELL = str.maketrans("|\n", "/ ")
 
 
 def scanned(spark: SparkSession, root: str) -> DataFrame:
@@ -78,12 +79,8 @@ def docx_blocks(content: bytes) -> tuple[str | None, list[dict], dict[str, str]]
     for node in root.find(W + "body") if root.find(W + "body") is not None else ():
         if node.tag == W + "tbl":
             close()
-            rows = [[parsers.normalize(said(c)).replace("|", "/").replace("\n", " ") for c in r.iter(W + "tc")] for r in node.iter(W + "tr")]
-            rows = [r for r in rows if any(r)]
-            if rows:
-                width = max(map(len, rows))
-                shown = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in rows]
-                out += parsers.block("table", "\n".join([shown[0], "|" + "---|" * width, *shown[1:]]))
+            cells = [[parsers.normalize(said(c)).translate(IN_CELL) for c in r.iter(W + "tc")] for r in node.iter(W + "tr")]
+            out += parsers.block("table", parsers.table_text(cells))
         elif node.tag == W + "p":
             style = node.find(f"{W}pPr/{W}pStyle")
             name = (style.get(W + "val") or "").replace(" ", "").lower() if style is not None else ""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -56,6 +57,13 @@ def refusal(mime: Column) -> Column:
     return F.when(mime.isin(FORBIDDEN), "forbidden_type").when(~mime.isin(READ), "unsupported_type")
 
 
+def table_text(cells: list[list[str]]) -> str:
+    """Lists of cells as the lines of a table, the first one its head; lists without text go, short ones are filled up."""
+    columns = list(itertools.zip_longest(*filter(any, cells), fillvalue=""))
+    lines = [f"| {' | '.join(line)} |" for line in zip(*columns)]
+    return "\n".join([*lines[:1], "|" + "---|" * len(columns), *lines[1:]]) if lines else ""
+
+
 def block(kind: str, text: str, level: int = 0) -> list[dict]:
     return [{"kind": kind, "text": text, "level": level, "page": None}] if text else []
 
@@ -150,11 +158,8 @@ class Page(HTMLParser):
             rows, self.rows = self.rows, []
             self.out += block("list", "\n".join(r[0] for r in rows if r))
         elif tag == "table":
-            rows, self.rows = [r for r in self.rows if any(r)], []
-            if rows:
-                width = max(map(len, rows))
-                shown = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in rows]
-                self.out += block("table", "\n".join([shown[0], "|" + "|".join(["---"] * width) + "|", *shown[1:]]))
+            cells, self.rows = self.rows, []
+            self.out += block("table", table_text(cells))
         elif tag == "pre":
             text, self.text = "".join(self.text).rstrip(), []
             self.out += block("code", text)

@@ -1,10 +1,14 @@
 """Exact block search against all pairs, and the index against the exact search."""
 
+import hashlib
 import math
 import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
 
 from corpusloom.operators import retrieval, vector_index, vectors
 from corpusloom.plans import search_queries
@@ -116,3 +120,19 @@ def test_index_of_odd_rows_and_later_ones(spark, tmp_path):
     nothing = frames(spark, [], [], [])
     vector_index.build(nothing[1], str(tmp_path / "none"))
     assert vector_index.search(str(tmp_path / "none"), q, may).count() == 0
+
+
+def test_hashed_vectors_of_a_whole_table(spark):
+    """Signed hashed counts of stems and neighbouring pairs, against a plain loop over the features."""
+    docs = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(-1, ""), (-2, None), (-3, "the of")], "item_id long, text string"))
+    rows = retrieval.hashed_vectors(docs.withColumn("terms", T.content_terms(F.coalesce("text", F.lit("")))), size=64).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        pairs = [f"{a}_{b}" for a, b in zip(r.terms, r.terms[1:])]
+        want = np.zeros(64)
+        for f in {*r.terms, *pairs}:
+            digest = hashlib.blake2b(f.encode(), digest_size=8).digest()
+            size = (1 + math.log([*r.terms, *pairs].count(f))) * (0.5 if f in pairs and "_" in f else 1)
+            want[int.from_bytes(digest[:4], "little") % 64] += size * (1 if digest[4] % 2 else -1)
+        want = want / np.linalg.norm(want) if want.any() else np.eye(64)[0]
+        assert np.allclose(r.embedding, want, atol=1e-6)
