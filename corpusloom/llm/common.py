@@ -60,7 +60,7 @@ def below(wanted: int, among: int) -> int:
 
 #: Bytes of an Arrow batch on its way to a Python worker. A batch takes its size several times over, in the
 #: executor and in the worker; a longer single row is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -41,7 +41,7 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(column: pa.Array, most: int = 2 << 20) -> list[pa.Array]:
+def slices(column: pa.Array, most: int = 1 << 20) -> list[pa.Array]:
     """The large_string column in consecutive slices of about `most` bytes, or one text if it is longer,
     so that the arrays made from a slice stay small whatever the size of Spark's batch."""
     size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
