@@ -585,7 +585,7 @@ def s15_crawl_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.within(web.crawled(pages, start), start, "[0-9]", "7", 60)
 
 
-SITES_SQL = """p AS (SELECT page_id, page_id % 3 AS source, 'http://h' || page_id % 3 || '.example' || regexp_extract(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["''](/[^"''#?]+)', 1) AS url, html FROM pages),
+SITES_SQL = """p AS (SELECT page_id, page_id % 2 AS source, 'http://h' || page_id % 2 || '.example' || regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1)[(page_id // 2) % 4 + 1] AS url, html FROM pages),
 l AS (SELECT source, url, x.raw, x.k FROM (SELECT source, url, unnest(list_zip(r, range(len(r)))) AS z, struct_pack(raw := z[1], k := z[2]) AS x
       FROM (SELECT source, url, regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1) AS r FROM p)) WHERE x.raw LIKE '/%'),
 e AS (SELECT source, url, 'http://h' || source || '.example' || raw AS link, min(k) AS k FROM l GROUP BY ALL)"""
@@ -599,22 +599,23 @@ n{depth} AS (SELECT w.source, e.link AS url, min((w.place, e.k)) AS o FROM w{dep
 c{depth} AS (SELECT source, count(*) AS had FROM ({before}) GROUP BY ALL),
 a{depth} AS (SELECT source, url, {depth} AS depth, had + row_number() OVER (PARTITION BY source ORDER BY o, url) - 1 AS place,
              regexp_matches(url, 'e') AND NOT regexp_matches(url, 'z$') AS fetched FROM n{depth} JOIN c{depth} USING (source) WHERE (source, url) NOT IN ({before})),
-w{depth} AS (SELECT * FROM a{depth} WHERE place < 120)"""
+w{depth} AS (SELECT * FROM a{depth} WHERE place < 24)"""
 
 
 @query(f"""
 WITH {SITES_SQL},
-w0 AS (SELECT source, min(url) AS url, 0 AS depth, 0::BIGINT AS place, true AS fetched FROM p GROUP BY source),
+a0 AS (SELECT source, url, 0 AS depth, row_number() OVER (PARTITION BY source ORDER BY min(page_id), url) - 1 AS place, true AS fetched FROM p WHERE (page_id // 2) % 10 = 0 GROUP BY source, url),
+w0 AS (SELECT * FROM a0 WHERE place < 24),
 {crawl_level(1)}, {crawl_level(2)}, {crawl_level(3)}, {crawl_level(4)}
 SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4
 """)
 def s15_crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sites, in which a page's address is the first that its menu names, four links deep and 120 pages each."""
-    p = D.table(spark, sf_dir, "pages").withColumn("source", F.col("page_id") % 3)
-    path = F.regexp_extract("html", r"""(?i)<a\s[^>]*?href\s*=\s*["'](/[^"'#?]+)""", 1)
-    sites = p.select("source", F.concat(F.lit("http://h"), "source", F.lit(".example"), path).alias("url"), "html")
-    start = sites.groupBy("source").agg(F.min("url").alias("url"))
-    return web.crawl(sites, start, include="e", exclude="z$", max_depth=4, max_pages=120)
+    """Two sites, in which a page's address is one of those that its menu names: from a tenth of the pages up to four links deep, 24 pages each."""
+    p = D.table(spark, sf_dir, "pages").withColumn("source", F.col("page_id") % 2)
+    path = F.get(F.regexp_extract_all("html", F.lit(web.LINK), F.lit(1)), (F.floor(F.col("page_id") / 2) % 4).cast("int"))
+    sites = p.select("page_id", "source", F.concat(F.lit("http://h"), "source", F.lit(".example"), path).alias("url"), "html")
+    start = sites.where("floor(page_id / 2) % 10 = 0").select("source", "url", F.col("page_id").alias("position"))
+    return web.crawl(sites, start, include="e", exclude="z$", max_depth=4, max_pages=24)
 
 
 # --- evaluation
