@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import analytics, answers, documents, retrieval
+from corpusloom.operators import analytics, answers, documents, layout, retrieval
 from corpusloom.sources import parsers
 
 from . import domain as D
@@ -56,6 +56,40 @@ def s13_too_little_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.too_little_text(lines(spark, sf_dir))
 
 
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of documents set in two columns of pages."""
+    i = F.col("ordinal")
+    x0, y0 = i % 2 * 300.0, F.floor(i % 30) * 28.0
+    placed = lines(spark, sf_dir).withColumns({"x0": x0, "y0": y0, "x1": x0 + 250.0, "y1": y0 + 12.0, "height": F.lit(842.0), "block": F.floor(i / 3)})
+    return placed.select("doc_id", "ordinal", "page", "x0", "y0", "x1", "y1", "height", "block", "size", "text")
+
+
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on the pages: a table in the left column of every third, one across every fifth, and one that is no table."""
+    pages = lines(spark, sf_dir).select("doc_id", "page").distinct()
+    turn = F.col("doc_id") + F.col("page")
+    table = F.concat(F.lit("| n | page |\n|---|---|\n| "), "doc_id", F.lit(" | "), "page", F.lit(" |"))
+    box = lambda when, x0, y0, x1, y1, text: F.when(when, F.struct(*(F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))), text.alias("markdown")))
+    boxes = F.array(box(turn % 3 == 0, 0.0, 50.0, 260.0, 118.0, table), box(turn % 5 == 0, -9.0, 330.0, 700.0, 520.0, table), box(turn % 2 == 0, 0.0, 0.0, 700.0, 842.0, F.lit("| no |")))
+    return pages.select("doc_id", "page", F.explode(F.array_compact(boxes)).alias("b")).select("doc_id", "page", "b.*")
+
+
+@query(f"""
+WITH {LINES_SQL},
+p AS (SELECT *, ordinal % 2 * 300.0 + 125 AS cx, ordinal % 30 * 28.0 + 6 AS cy, (doc_id + page) % 3 = 0 AS small, (doc_id + page) % 5 = 0 AS large FROM lines)
+SELECT doc_id, ordinal, page FROM p
+WHERE NOT (small AND cx BETWEEN -1 AND 261 AND cy BETWEEN 49 AND 119) AND NOT (large AND cx BETWEEN -10 AND 701 AND cy BETWEEN 329 AND 521)
+""")
+def s9_lines_outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.outside(page_lines(spark, sf_dir), layout.regions(page_boxes(spark, sf_dir))).select("doc_id", "ordinal", "page")
+
+
+@query()
+def s9_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents: against a plain loop in tests/test_layout.py."""
+    return layout.blocks(page_lines(spark, sf_dir), page_boxes(spark, sf_dir))
+
+
 @query(f"SELECT item_id, list_reduce({S.filled("string_split(regexp_replace(text, 'e', 'e' || chr(30), 'g'), chr(30))")}, lambda a, x: CASE WHEN suffix(a, '-') AND regexp_matches(x, '^[a-z]') THEN a[:-2] || x ELSE a || ' ' || x END) AS out FROM benchmark")
 def s12_dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "benchmark").select("item_id", documents.dehyphenated(F.split("text", "(?<=e)")).alias("out"))
@@ -63,11 +97,7 @@ def s12_dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def each(texts):  # type: ignore[no-untyped-def]
-        return texts.map(parsers.normalize, na_action="ignore")
-
-    return D.table(spark, sf_dir, "documents").select("doc_id", each("text").alias("out"))
+    return D.table(spark, sf_dir, "documents").select("doc_id", parsers.normalized(F.col("text")).alias("out"))
 
 
 @query("""
