@@ -19,7 +19,8 @@ common, and all pieces of one hash go to one shard:
 4. The repeats of all pieces are gathered per text, merged and cut out.
 
 Documents with the same text share a key, the text's MD5, so exact copies of any number need one
-list of repeats. Hashes only choose what is compared, apart from piece equality, which rests on 128 bits.
+list of repeats. Hashes only choose what is compared, apart from piece equality: pieces of an anchor are equal if a hash of 128 bits is.
+Rows meet facts about their anchor or piece under salted keys, so that a passage in a third of all documents has many tasks.
 
 Null and empty texts have nothing removed and the digest of nothing. Only doc_id and text are read; repeated rows
 are copies of each other, and null ids are kept.
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import induced_sort, ragged
@@ -48,6 +49,8 @@ SHARD = 1 << 21
 #: As much as a task sorts in half a minute: larger groups would hold it up, smaller ones cost more to split than to sort.
 HOT = 8 * SHARD
 OFFSETS = LENGTH - GRAM + 1
+#: Tasks over which the rows of an anchor or a piece are dealt.
+SALTS = 32
 
 
 def byte_values() -> np.ndarray:
@@ -105,8 +108,9 @@ def slices(column: pa.Array) -> Iterator[pa.Array]:
 
 
 def piece_table(docs: DataFrame) -> DataFrame:
-    """key (of the text), doc_id, place, n, anchor and body (hashes) of all pieces of docs (key, doc_id, text)."""
-    names = ["key", "doc_id", "place", "n", "anchor", "body"]
+    """key (of the text), doc_id, place, n, anchor, body and twin (hashes) of all pieces of docs (key, doc_id, text). body and twin
+    are the halves of one hash of 128 bits: pieces of an anchor with equal ones are equal."""
+    names = ["key", "doc_id", "place", "n", "anchor", "body", "twin"]
 
     def one(tool: Anchors, data: bytes, begin: np.ndarray, shift: int, limit: int) -> tuple[np.ndarray, ...]:
         """Texts that begin at `begin`, as one array; starts before `limit` count."""
@@ -114,8 +118,9 @@ def piece_table(docs: DataFrame) -> DataFrame:
         room = np.repeat(begin[1:], np.diff(begin)) - np.arange(len(flat))
         first, n, anchor = tool.pieces(flat, (room >= LENGTH) & (np.arange(len(flat)) < limit))
         owner = np.searchsorted(begin, first, "right") - 1
-        body = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + m + LENGTH - 1]) for a, m in zip(first.tolist(), n.tolist())), np.uint64, len(first))
-        return owner, first - begin[owner] + shift, n, anchor, body
+        digests = b"".join(xxhash.xxh3_128_digest(data[a : a + m + LENGTH - 1]) for a, m in zip(first.tolist(), n.tolist()))
+        body, twin = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+        return owner, first - begin[owner] + shift, n, anchor, body, twin
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Anchors()
@@ -134,18 +139,19 @@ def piece_table(docs: DataFrame) -> DataFrame:
                 else:
                     begin = np.concatenate([[0], np.cumsum(size)])
                     found = [one(tool, b"".join(texts), begin, 0, int(begin[-1]))] if begin[-1] >= LENGTH else []
-                for owner, place, n, anchor, body in found:
+                for owner, place, n, anchor, body, twin in found:
                     rows = pa.array(owner + at)
                     columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place, pa.int64()), pa.array(n, pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(anchor.view(np.int64)), pa.array(body.view(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(anchor.view(np.int64)), pa.array(body), pa.array(twin)], names)
                 at += len(part)
 
-    return docs.select("key", "doc_id", "text").mapInArrow(lean(each), "key binary, doc_id long, place long, n int, anchor long, body long")
+    return docs.select("key", "doc_id", "text").mapInArrow(lean(each), "key binary, doc_id long, place long, n int, anchor long, body long, twin long")
 
 
 def cut_pieces(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """anchor, body, n and the bytes of pieces (key, doc_id, place, n, anchor, body)."""
-    lists = pieces.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("place", "n", "anchor", "body")).alias("cuts"))
+    """anchor, body, twin, n and the bytes of pieces (key, doc_id, place, n, anchor, body, twin)."""
+    names = ["anchor", "body", "twin", "n", "bytes"]
+    lists = pieces.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("place", "n", "anchor", "body", "twin")).alias("cuts"))
     joined = docs.join(lists, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "cuts")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,21 +161,21 @@ def cut_pieces(docs: DataFrame, pieces: DataFrame) -> DataFrame:
                 data, rows = texts[k].as_py(), cuts[k].values
                 place, n = rows.field("place").to_numpy(), rows.field("n").to_numpy()
                 body = [data[a : a + m + LENGTH - 1] for a, m in zip(place.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("body"), rows.field("n"), pa.array(body, pa.binary())], ["anchor", "body", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in names[:4]), pa.array(body, pa.binary())], names)
 
-    return joined.mapInArrow(lean(each), "anchor long, body long, n int, bytes binary")
+    return joined.mapInArrow(lean(each), "anchor long, body long, twin long, n int, bytes binary")
 
 
 class Shard:
     """Different pieces and the suffixes of all of them. The bytes go to a scratch file as they come; what is in memory
-    is bounded by the room, but for four numbers a piece."""
+    is bounded by the room, but for five numbers a piece."""
 
     def __init__(self, bound: int = induced_sort.BOUND) -> None:
         self.bound, self.file, self.size = bound, tempfile.TemporaryFile(), 0
-        self.columns = [array("q") for _ in range(4)]  # anchor, body, number of starts, first sign
+        self.columns = [array("q") for _ in range(5)]  # anchor, body, twin, number of starts, first sign
 
-    def add(self, anchor: int, body: int, n: int, data: bytes) -> None:
-        for column, value in zip(self.columns, (anchor, body, n, self.size)):
+    def add(self, anchor: int, body: int, twin: int, n: int, data: bytes) -> None:
+        for column, value in zip(self.columns, (anchor, body, twin, n, self.size)):
             column.append(value)
         # 1 parts the pieces, 0 ends the text
         self.file.write((np.frombuffer(data + b"\x00", np.uint8).astype(np.uint16) + 2 - (np.arange(len(data) + 1) == len(data)).astype(np.uint16)).data)
@@ -187,7 +193,7 @@ class Shard:
         """Piece, first and last start of each run of repeats: starts whose LENGTH bytes are those of a neighbour in the
         order of suffixes, ends of pieces left out."""
         room, text = induced_sort.Room(self.bound), self.text()
-        counts, begin = (np.frombuffer(c, np.int64) for c in self.columns[2:])
+        counts, begin = (np.frombuffer(c, np.int64) for c in self.columns[3:])
         mark = room.array(bool, self.size + 1)
         least, before = LENGTH, -1
         for position, prefix in induced_sort.sorted_suffixes(text, LENGTH, room):
@@ -216,49 +222,49 @@ class Shard:
 
 
 def sorted_shards(pieces: DataFrame) -> DataFrame:
-    """anchor, body, first, last: runs of repeated starts in pieces (anchor, body, n, bytes), found by
+    """anchor, body, twin, first, last: runs of repeated starts in pieces (anchor, body, twin, n, bytes), found by
     sorting the suffixes of whole anchor groups together, about SHARD bytes at a time."""
-    names = ["anchor", "body", "first", "last"]
+    names = ["anchor", "body", "twin", "first", "last"]
 
     def solved(shard: Shard) -> pa.RecordBatch:
         piece, first, last = shard.repeats()
-        keys = [pa.array(np.frombuffer(c, np.int64)[piece]) for c in shard.columns[:2]]
+        keys = [pa.array(np.frombuffer(c, np.int64)[piece]) for c in shard.columns[:3]]
         return pa.RecordBatch.from_arrays([*keys, pa.array(first, pa.int64()), pa.array(last, pa.int64())], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, last = Shard(), (None, None)
+        shard, last = Shard(), (None, None, None)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] == last:
+                if row[:3] == last:
                     continue
                 if shard.size > SHARD and row[0] != last[0]:
                     yield solved(shard)
                     shard = Shard()
                 shard.add(*row)
-                last = row[:2]
+                last = row[:3]
         if shard.size:
             yield solved(shard)
 
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "body").select("anchor", "body", "n", "bytes")
-    return dealt.mapInArrow(lean(each), "anchor long, body long, first long, last long")
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "body", "twin").select("anchor", "body", "twin", "n", "bytes")
+    return dealt.mapInArrow(lean(each), "anchor long, body long, twin long, first long, last long")
 
 
 def halved(pieces: DataFrame, level: int) -> DataFrame:
-    """anchor, body, part, kind, shift, n, at and bytes: pieces (anchor, body, n, at, bytes) cut by the offset of the
+    """anchor, body, twin, part, kind, other, shift, n, at and bytes: pieces (anchor, body, twin, n, at, bytes) cut by the offset of the
     anchor in their strings, at the edges of level + 1 halvings of all offsets. part: a hash of the bytes that strings
-    with such offsets have in common if they are equal; kind: of all bytes; shift: the first start in the
+    with such offsets have in common if they are equal; kind and other: of all bytes; shift: the first start in the
     piece; at: the place of the anchor, if known."""
     edges = [0, OFFSETS]
     for _ in range(level + 1):
         edges = sorted({*edges, *((a + b) // 2 for a, b in zip(edges, edges[1:]))})
-    names = ["anchor", "body", "part", "kind", "shift", "n", "at", "bytes"]
-    types = [pa.int64(), pa.int64(), pa.uint64(), pa.uint64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["anchor", "body", "twin", "part", "kind", "other", "shift", "n", "at", "bytes"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.uint64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, low = Anchors(), np.uint64((1 << 24) - 1)
         for batch in batches:
             rows = []
-            for anchor, body, n, at, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for anchor, body, twin, n, at, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if at is None:
                     at = int(np.argmin(tool.grams(np.frombuffer(data[:LENGTH], np.uint8)) & ~low))
                 for a, b in zip(edges, edges[1:]):
@@ -266,51 +272,70 @@ def halved(pieces: DataFrame, level: int) -> DataFrame:
                     if first <= last:
                         core, whole = data[at - a : at - b + 1 + LENGTH], data[first : last + LENGTH]
                         part = xxhash.xxh3_64_intdigest(core, a * LENGTH + b)
-                        rows.append((anchor, body, part, xxhash.xxh3_64_intdigest(whole), first, last - first + 1, at - first, whole))
+                        kind, other = np.frombuffer(xxhash.xxh3_128_digest(whole), np.int64).tolist()
+                        rows.append((anchor, body, twin, part, kind, other, first, last - first + 1, at - first, whole))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([c.view(pa.int64()) if c.type == pa.uint64() else c for c in columns], names)
 
-    return pieces.select("anchor", "body", "n", "at", "bytes").mapInArrow(lean(each), "anchor long, body long, part long, kind long, shift int, n int, at int, bytes binary")
+    return pieces.select("anchor", "body", "twin", "n", "at", "bytes").mapInArrow(lean(each), "anchor long, body long, twin long, part long, kind long, other long, shift int, n int, at int, bytes binary")
 
 
-def groups(kinds: DataFrame) -> DataFrame:
-    """anchor and held (bytes) of the anchors with two different pieces or more in kinds (anchor, body, n)."""
+def crowded(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of kinds (anchor, body, n and more) those whose anchor has two different pieces or more, with `held`, the bytes of all of them;
+    and these anchors with `held`."""
+    dealt = kinds.withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(SALTS)).cast("int"))
     held = F.sum(F.col("n") + F.lit(LENGTH - 1).cast("long")).alias("held")
-    return settled(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), held).where("different > 1").select("anchor", "held"), "groups")
+    several = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), held, met_salts()).where("different > 1")
+    several = settled(several.drop("different"), "groups")
+    return dealt.join(salted(several), ["anchor", "salt"]).drop("salt"), several
 
 
 def repeats_in_halves(pieces: DataFrame, level: int = 0) -> DataFrame:
-    """anchor, body, first, last: runs of repeated starts in different pieces (anchor, body, n, at, bytes) of anchors with
+    """anchor, body, twin, first, last: runs of repeated starts in different pieces (anchor, body, twin, n, at, bytes) of anchors with
     more than HOT bytes."""
     halves = settled(halved(pieces, level), "halves")
     one = [F.first(c).alias(c) for c in ("n", "at", "bytes")]
-    kinds = settled(halves.groupBy(F.col("part").alias("anchor"), F.col("kind").alias("body")).agg(F.count(F.lit(1)).alias("m"), *one), "half-kinds")
-    several = groups(kinds)
-    differ = kinds.join(several, "anchor")
-    whole = kinds.where("m > 1").select("anchor", "body", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
+    kinds = settled(halves.groupBy(F.col("part").alias("anchor"), F.col("kind").alias("body"), F.col("other").alias("twin")).agg(F.count(F.lit(1)).alias("m"), *one), "half-kinds")
+    differ, several = crowded(kinds)
+    whole = kinds.where("m > 1").select("anchor", "body", "twin", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
     found = whole.unionByName(sorted_shards(differ.where(F.col("held") <= HOT)))
     if not several.where(F.col("held") > HOT).isEmpty():
         found = found.unionByName(repeats_in_halves(differ.where(F.col("held") > HOT), level + 1))
-    found = found.withColumnsRenamed({"anchor": "part", "body": "kind"})
-    return halves.join(found, ["part", "kind"]).select("anchor", "body", (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last"))
+    found = found.withColumnsRenamed({"anchor": "part", "body": "kind", "twin": "other"})
+    return halves.drop("bytes").join(found, ["part", "kind", "other"]).select(halves["anchor"], halves["body"], halves["twin"], (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last"))
+
+
+def met_salts() -> Column:
+    """The salts of a group's rows, as bits."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def salted(facts: DataFrame) -> DataFrame:
+    """facts about keys once for each salt of the key's rows: never more rows than the key has, and rows of a frequent key
+    meet them in SALTS tasks."""
+    numbers = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return facts.withColumn("salt", F.explode(F.filter(numbers, lambda k: F.getbit("salts", k) == 1))).drop("salts")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """key, spans: for each text with repeats the byte spans to remove, as begin, end, begin, end, ..."""
-    pieces = settled(piece_table(docs), "pieces")
-    often = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
-    shared = settled(pieces.join(often, "anchor"), "shared-pieces")
+    pieces = settled(piece_table(docs).withColumn("salt", F.pmod(F.xxhash64("key", "place"), F.lit(SALTS)).cast("int")), "pieces")
+    often = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), met_salts()).where("m > 1")
+    shared = settled(pieces.join(salted(often.select("anchor", "salts")), ["anchor", "salt"]), "shared-pieces")
     done_with(pieces)
-    kinds = settled(shared.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "doc_id", "place", "n")).alias("one")), "piece-kinds")
-    several = groups(kinds.select("anchor", "body", "one.n"))
-    differ = kinds.join(several, "anchor").select("one.*", "anchor", "body", "held")
+    piece = ["anchor", "body", "twin"]
+    kinds = settled(shared.groupBy(piece).agg(F.count(F.lit(1)).alias("m"), met_salts(), F.min(F.struct("key", "doc_id", "place", "n")).alias("one")), "piece-kinds")
+    differ, several = crowded(kinds.select("one.*", *piece))
     found = sorted_shards(cut_pieces(docs, differ.where(F.col("held") <= HOT)))
     if not several.where(F.col("held") > HOT).isEmpty():
         hot = cut_pieces(docs, differ.where(F.col("held") > HOT)).withColumn("at", F.lit(None).cast("int"))
         found = found.unionByName(repeats_in_halves(hot))
     found = settled(found, "repeats")
-    whole = shared.join(kinds.where("m > 1").select("anchor", "body"), ["anchor", "body"]).select("key", F.col("place").alias("begin"), (F.col("place") + F.col("n") + LENGTH - 1).alias("end"))
-    part = shared.join(found, ["anchor", "body"]).select("key", (F.col("place") + F.col("first")).alias("begin"), (F.col("place") + F.col("last") + LENGTH).alias("end"))
+    twice = salted(kinds.where("m > 1").select(*piece, "salts"))
+    whole = shared.join(twice, [*piece, "salt"]).select("key", F.col("place").alias("begin"), (F.col("place") + F.col("n") + LENGTH - 1).alias("end"))
+    # of a piece that occurs once, the row is known; those that occur twice go whole
+    runs = found.join(kinds.where("m = 1").select(*piece, "one.key", "one.place"), piece)
+    part = runs.select("key", (F.col("place") + F.col("first")).alias("begin"), (F.col("place") + F.col("last") + LENGTH).alias("end"))
     spans = whole.unionByName(part).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     return spans.select("key", F.flatten(F.transform("spans", lambda s: F.array(s["begin"], s["end"]))).alias("spans"))
 
