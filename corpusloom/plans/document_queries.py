@@ -95,7 +95,7 @@ def s12_dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "benchmark").select("item_id", documents.dehyphenated(F.split("text", "(?<=e)")).alias("out"))
 
 
-@query()
+@query(f"SELECT doc_id, {S.normalized('text')} AS out FROM documents")
 def t1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", parsers.normalized(F.col("text")).alias("out"))
 

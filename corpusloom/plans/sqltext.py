@@ -44,3 +44,11 @@ def jaccard(a: str, b: str) -> str:
 
 def suspicious(x: str) -> str:
     return f"regexp_matches({x}, '(?i){'|'.join(SUSPICIOUS)}')"
+
+
+def normalized(x: str) -> str:
+    """As sources/parsers.py, but for compatibility signs: SQL composes canonically only. tests/test_layout.py has those."""
+    out = f"replace(nfc_normalize({x}), chr(173), '')"
+    for pattern, by in (("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "' '"), ("[ \\t\\x{a0}]+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)")):
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    return strip(out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources import parsers
 
 from . import sqltext as S
 from .domain import table
@@ -78,13 +79,12 @@ SELECT x.item_id, round({S.jaccard("x.terms", "y.terms")}, 6) AS likeness FROM i
 
 
 def s4_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of plain text: cut at blank lines, trimmed, without empty ones."""
-    blocks = F.posexplode(T.filled(F.split("text", r"\n\s*\n"))).alias("ordinal", "text")
-    return table(spark, sf_dir, "documents").select("doc_id", blocks)
+    """Paragraphs of plain text: cut at blank lines, normalised, without empty ones."""
+    return parsers.text_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES["s4_text_blocks"] = s4_text_blocks
 SQL["s4_text_blocks"] = f"""
-WITH b AS (SELECT doc_id, {S.filled("string_split_regex(text, '\\n\\s*\\n')")} AS b FROM documents)
+WITH b AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: {S.normalized("p")}), lambda p: p <> '') AS b FROM documents)
 SELECT doc_id, CAST(unnest(range(len(b))) AS INTEGER) AS ordinal, unnest(b) AS text FROM b
 """

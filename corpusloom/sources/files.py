@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -114,7 +115,7 @@ def read_as(mime: str | None, content: bytes | None) -> tuple[str | None, list[d
         blocks = parsers.markdown_blocks(text)
         return next((b["text"] for b in blocks if b["kind"] == "heading" and b["level"] == 1), None), blocks
     if mime == "text/plain":
-        return None, [b for part in text.replace("\r\n", "\n").split("\n\n") for b in parsers.block("paragraph", parsers.normalize(part))]
+        return None, [b for part in re.split(r"\n\s*\n", text) for b in parsers.block("paragraph", parsers.normalize(part))]
     return None, []
 
 

@@ -37,10 +37,23 @@ def composed(texts: pd.Series) -> pd.Series:
 
 def normalized(text: Column) -> Column:
     """`normalize` as a column. Signs are composed in Python, for texts that aren't plain ASCII only."""
-    wide = composed(F.when(text.rlike(r"[^\x00-\x7f]"), text))
-    bare = F.translate(F.coalesce(wide, text), "\u00ad", "")
-    even = F.regexp_replace(F.regexp_replace(bare, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " "), r"[ \t\xa0]+", " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(even, r" *\n *", "\n"), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+\z", "")
+    return even(F.coalesce(composed(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text))
+
+
+def even(text: Column) -> Column:
+    """What `normalize` does once signs are composed."""
+    bare = F.translate(text, "\u00ad", "")
+    spaced = F.regexp_replace(F.regexp_replace(bare, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " "), r"[ \t\xa0]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(spaced, r" *\n *", "\n"), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+\z", "")
+
+
+def text_blocks(texts: DataFrame) -> DataFrame:
+    """doc_id, ordinal (from 0), text: the paragraphs of plain texts (doc_id, text), cut at blank lines and normalised; empty ones and
+    null texts have none. Signs are composed once a text, which no cut depends on: line ends have no other forms."""
+    parts = F.transform(F.split("text", r"\n\s*\n"), even)
+    wide = composed(F.when(F.col("text").rlike(r"[^\x00-\x7f]"), F.col("text")))
+    whole = texts.select("doc_id", F.coalesce(wide, "text").alias("text"))
+    return whole.select("doc_id", F.posexplode(F.filter(parts, lambda p: p != "")).alias("ordinal", "text"))
 
 
 def mime_type(path: Column, head: Column) -> Column:
