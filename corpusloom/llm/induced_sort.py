@@ -27,6 +27,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+#: Symbols that comparisons read at a time.
+WIDTH = 16
 BOUND = 1 << 23
 Block = tuple[np.ndarray, ...]
 
@@ -175,21 +177,31 @@ def stars(small: np.ndarray, room: Room) -> np.ndarray:
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, up to depth."""
+    """Common prefixes of pairs of suffixes, up to depth. Symbols are read a window of WIDTH at a time, as one item."""
     n = len(text)
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    width = 16
-    for at in range(0, depth, width):
+    whole = max(0, n - WIDTH + 1)
+    windows = np.ndarray((whole,), f"V{WIDTH * text.itemsize}", text, strides=text.strides) if whole else None
+    for at in range(0, depth, WIDTH):
         if not len(live):
             break
         i, j = a[live] + at, b[live] + at
-        grid = np.arange(width)
-        x, y = i[:, None] + grid, j[:, None] + grid
-        differ = (text[np.minimum(x, n - 1)] != text[np.minimum(y, n - 1)]) | (x >= n) | (y >= n)
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        first = np.zeros(len(live), np.int64)
+        inside = np.maximum(i, j) < whole
+        if inside.any():
+            x, y = (windows[k[inside]].view(text.dtype).reshape(-1, WIDTH) for k in (i, j))
+            differ = x != y
+            place = differ.argmax(axis=1)
+            first[inside] = np.where((place > 0) | differ[:, 0], place, WIDTH)
+        rest = np.flatnonzero(~inside)  # these reach the end of the text
+        if len(rest):
+            grid = np.arange(WIDTH)
+            x, y = i[rest, None] + grid, j[rest, None] + grid
+            differ = (text[np.minimum(x, n - 1)] != text[np.minimum(y, n - 1)]) | (x >= n) | (y >= n)
+            first[rest] = np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)
         out[live] += first
-        live = live[first == width]
+        live = live[first == WIDTH]
     return np.minimum(out, depth)
 
 

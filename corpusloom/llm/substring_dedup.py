@@ -174,11 +174,11 @@ class Shard:
         self.bound, self.file, self.size = bound, tempfile.TemporaryFile(), 0
         self.columns = [array("q") for _ in range(5)]  # anchor, body, twin, number of starts, first sign
 
-    def add(self, anchor: int, body: int, twin: int, n: int, data: bytes) -> None:
+    def add(self, anchor: int, body: int, n: int, data: bytes, twin: int = 0) -> None:
         for column, value in zip(self.columns, (anchor, body, twin, n, self.size)):
             column.append(value)
         # 1 parts the pieces, 0 ends the text
-        self.file.write((np.frombuffer(data + b"\x00", np.uint8).astype(np.uint16) + 2 - (np.arange(len(data) + 1) == len(data)).astype(np.uint16)).data)
+        self.file.write(np.append(np.frombuffer(data, np.uint8) + np.uint16(2), np.uint16(1)).data)
         self.size += len(data) + 1
 
     def text(self) -> np.ndarray:
@@ -240,7 +240,8 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
                 if shard.size > SHARD and row[0] != last[0]:
                     yield solved(shard)
                     shard = Shard()
-                shard.add(*row)
+                anchor, body, twin, n, data = row
+                shard.add(anchor, body, n, data, twin)
                 last = row[:3]
         if shard.size:
             yield solved(shard)
