@@ -334,7 +334,8 @@ class Pass:
     def feed(self, position: np.ndarray, prefix: np.ndarray, queue: Queue, own: int = -1) -> Block:
         """Puts the suffixes before a batch into the queue; those of the range `own` are returned: symbols, positions and prefixes."""
         fits, symbol = self.feeds(position)
-        order = np.argsort(symbol, kind="stable")
+        # small numbers are sorted by their digits
+        order = np.argsort(symbol.astype(np.uint16) if self.top < 1 << 16 else symbol, kind="stable")
         fits, symbol = fits[order], symbol[order]
         out = (symbol, position[fits] - 1, np.zeros(0, self.kind))
         self.batch += 1
