@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+from . import term_blocks
 from .vectors import best, nearest
 
 RRF_K = 60
@@ -22,15 +23,6 @@ def query_terms(question: Column) -> Column:
     return F.array_distinct(F.filter(T.tokens(question), lambda t: ~t.isin(T.STOPWORDS) & (F.length(t) >= 2)))
 
 
-def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """term, chunk_id, collection_id, n: how often each stem occurs in each chunk; with `wanted` (term) only stems of
-    those, the others going before anything is counted or shuffled."""
-    words = chunks.select("chunk_id", "collection_id", F.explode(T.tokens(F.col("text"))).alias("word")).where(~F.col("word").isin(T.STOPWORDS))
-    terms = words.select("chunk_id", "collection_id", T.stem(F.col("word")).alias("term"))
-    terms = terms if wanted is None else terms.join(wanted, "term", "left_semi")
-    return terms.groupBy("term", "chunk_id", "collection_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def asked_terms(questions: DataFrame) -> DataFrame:
     """query_id, sub, term: the stems of each question."""
     return questions.select("query_id", "sub", F.explode(F.array_distinct(F.transform(query_terms(F.col("question")), T.stem))).alias("term"))
@@ -40,13 +32,11 @@ def lexical(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int
     """query_id, chunk_id, score, rank. questions: query_id, sub, question; chunks: chunk_id, collection_id, text;
     allowed: sub, collection_id.
 
-    With n matching positions a chunk scores 0.1 n / (1 + 0.1 n). Only what was asked for is looked up, and the access
-    filter is a join on the collection before any ranking, so k is filled from what may be read."""
-    may = questions.select("query_id", "sub").join(allowed.select("sub", "collection_id").distinct(), "sub").select("query_id", "collection_id")
-    asked = asked_terms(questions).select("query_id", "term")
-    hits = asked.join(postings(chunks, asked.select("term").distinct()), "term").join(may, ["query_id", "collection_id"], "left_semi")
-    counted = hits.groupBy("query_id", "chunk_id").agg(F.sum("n").alias("n"))
-    return best(counted.select("query_id", "chunk_id", (0.1 * F.col("n") / (1 + 0.1 * F.col("n"))).alias("score")), k)
+    With n matching positions a chunk scores 0.1 n / (1 + 0.1 n). Questions go to the chunks in blocks and the access filter comes
+    before any ranking, so k is filled from what may be read: see term_blocks."""
+    terms = chunks.select("chunk_id", "collection_id", T.content_terms(F.col("text")).alias("terms"))
+    first = best(term_blocks.candidates(asked_terms(questions), terms, allowed, k), k, "n")
+    return first.select("query_id", "chunk_id", (0.1 * F.col("n") / (1 + 0.1 * F.col("n"))).alias("score"), "rank")
 
 
 def dot(a: Column, b: Column) -> Column:

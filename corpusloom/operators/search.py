@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import retrieval
+from corpusloom.sources import tables
 
 MODES = ("vector", "lexical", "hybrid")
 # Names of what a request had to do without.
@@ -68,4 +69,5 @@ def searched(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, docume
     by_vector = retrieval.vector(questions, vectors, allowed)
     by_terms = retrieval.lexical(questions, chunks, allowed)
     a, b, degraded = lists(mode, by_vector, by_terms, embedding)
-    return response(hydrated(retrieval.fused(a, b), chunks, documents, questions, allowed), degraded, rerank, k)
+    first = tables.settled(retrieval.fused(a, b), "fused")  # read for texts, counts and places
+    return response(hydrated(first, chunks, documents, questions, allowed), degraded, rerank, k)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "file:///tmp/checkpoints"
 #: Keys whose facts are broadcast; with more, rows meet them under salted keys.
 FACTS, SALTS = 100_000, 32
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 2 << 20
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
@@ -29,6 +31,15 @@ def settled(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches to BATCH_BYTES, so that Python workers hold no more of long texts; a lower one, given in
+    plain bytes, stays. Rows are unaffected."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def few(df: DataFrame, most: int = FACTS) -> bool:
     """Whether df has at most so many rows; reads no more than one above."""
     return df.limit(most + 1).count() <= most
