@@ -2,8 +2,8 @@
 
 An index is a folder:
 
-* `chunks` (chunk, chunk_id): a number for each chunk, in the order of ids, so that sums and ranks are made on numbers;
-* `collections` (access, collection_id): the same for collections;
+* `chunks` (chunk, chunk_id, rows): a number for each chunk, in the order of ids, so that sums and ranks are made on numbers;
+* `collections` (access, collection_id, rows): the same for collections;
 * `postings` (term, chunk, access, n), partitioned by buckets of terms and sorted by term within files, so that a search
   reads the buckets of its terms and, by the files' statistics, little else of them. Buckets are written by a rebalancing
   shuffle: a frequent term becomes files of even size;
@@ -18,6 +18,11 @@ aren't indexed. Extra columns aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +49,42 @@ def stems(words: DataFrame, stemmer: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, column: str, name: str, path: str) -> DataFrame:
-    """The distinct values of a column, numbered in their order; written to path and read back."""
-    ordered = rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
-    ordered.select(F.monotonically_increasing_id().alias(name), column).write.parquet(path)
+    """The distinct values of a column, numbered in their order, and how many rows have each (`rows`); written to path and read back."""
+    ordered = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(column)
+    ordered.select(F.monotonically_increasing_id().alias(name), column, "rows").write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
-def postings(words: DataFrame, stemmer: str) -> DataFrame:
-    """term, chunk, access, n of words (word, chunk, access): how often each stem occurs in each chunk."""
+def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, chunk, access, n of rows (chunk, access, held): how often each value occurs in each array."""
+    for batch in batches:
+        held = batch.column("held")
+        words = held.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(held)), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+        size = max(1, len(words.dictionary))
+        key, n = np.unique(row * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        own = pa.array(key // size)
+        columns = [words.dictionary.take(pa.array(key % size)), batch.column("chunk").take(own), batch.column("access").take(own), pa.array(n.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "chunk", "access", "n"])
+
+
+def counted(texts: DataFrame, column: Column, term: str) -> DataFrame:
+    """The distinct values of an array over texts (chunk, access, rows) with their number in each chunk: term, chunk, access, n.
+    A chunk of one row is counted where it lies; only chunks of several rows are grouped."""
+    tables.bounded_batches(texts.sparkSession)
+    one = texts.where("rows = 1").select("chunk", "access", column.alias("held"))
+    single = one.mapInArrow(occurrences, "term string, chunk long, access long, n long").withColumnRenamed("term", term)
+    several = texts.where("rows > 1").select(F.explode(column).alias(term), "chunk", "access")
+    return single.unionByName(several.groupBy(term, "chunk", "access").agg(F.count(F.lit(1)).alias("n")))
+
+
+def postings(texts: DataFrame, stemmer: str) -> DataFrame:
+    """term, chunk, access, n of texts (text, chunk, access, rows): how often each stem occurs in each chunk."""
     if stemmer == "light":  # cheaper than a join
-        return words.groupBy(T.stem(F.col("word")).alias("term"), "chunk", "access").agg(F.count(F.lit(1)).alias("n"))
-    counted = tables.settled(words.groupBy("word", "chunk", "access").agg(F.count(F.lit(1)).alias("n")), "words")
-    met = tables.matched(counted, stems(counted, stemmer), "word", F.col("chunk"))
+        return counted(texts, T.content_terms(F.col("text")), "term")
+    words = F.filter(T.tokens(F.col("text")), lambda w: ~w.isin(T.STOPWORDS))
+    held = tables.settled(counted(texts, words, "word"), "words")
+    met = tables.matched(held, stems(held, stemmer), "word", F.col("chunk"))
     return met.groupBy("term", "chunk", "access").agg(F.sum("n").alias("n"))
 
 
@@ -63,9 +92,8 @@ def build(chunks: DataFrame, path: str, stemmer: str = "light") -> None:
     """Writes an index of chunks (chunk_id, collection_id, text) to a new folder."""
     ids = numbered(chunks, "chunk_id", "chunk", f"{path}/chunks")
     codes = numbered(chunks, "collection_id", "access", f"{path}/collections")
-    coded = tables.matched(chunks.select("chunk_id", "collection_id", "text"), codes, "collection_id", F.col("chunk_id")).join(ids, "chunk_id")
-    words = coded.select("chunk", "access", F.explode(T.tokens(F.col("text"))).alias("word")).where(~F.col("word").isin(T.STOPWORDS))
-    rows = postings(words, stemmer).withColumn("bucket", bucket(F.col("term")))
+    coded = tables.matched(chunks.select("chunk_id", "collection_id", "text"), codes.select("collection_id", "access"), "collection_id", F.col("chunk_id")).join(ids, "chunk_id")
+    rows = postings(coded.select("chunk", "access", "rows", "text"), stemmer).withColumn("bucket", bucket(F.col("term")))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "chunk").write.partitionBy("bucket").parquet(f"{path}/postings")
     terms(chunks.sparkSession, path, stored=False).write.parquet(f"{path}/terms")
 
@@ -104,7 +132,7 @@ def search(path: str, questions: DataFrame, allowed: DataFrame, k: int = 40, ste
     ranked; postings aren't shuffled, but sums of matches are."""
     spark = questions.sparkSession
     asked = tables.settled(asked_terms(questions, stemmer), "asked")
-    codes = spark.read.parquet(f"{path}/collections")
+    codes = spark.read.parquet(f"{path}/collections").select("access", "collection_id")
     may = allowed.select("sub", "collection_id").distinct().join(codes, "collection_id").select("sub", "access")
     hits = tables.matched(of_terms(spark, path, asked.select("term").distinct()), asked, "term", F.col("chunk"))
     seen = hits.join(F.broadcast(may) if tables.few(may) else may, ["sub", "access"], "left_semi")

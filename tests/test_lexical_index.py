@@ -98,3 +98,14 @@ def test_index_of_nothing(spark, tmp_path):
     lexical_index.build(chunks, str(tmp_path / "i"))
     questions = spark.createDataFrame(QUESTIONS, "query_id long, sub string, question string")
     assert lexical_index.search(str(tmp_path / "i"), questions, spark.createDataFrame([("u", "s1")], "sub string, collection_id string")).count() == 0
+
+
+def test_chunks_are_counted_where_they_lie(spark):
+    """Postings of a chunk of one row come without a shuffle; chunks of several rows are added up."""
+    rows = [(0, 1, 1, "doctors doctor the dog"), (1, 1, 1, None), (2, 2, 1, ""), (3, 1, 2, "doctor"), (3, 1, 2, "doctors dog"), (4, 1, 1, "the")]
+    df = spark.createDataFrame(rows, "chunk long, access long, rows long, text string")
+    want = {("doctor", 0, 1, 2), ("dog", 0, 1, 1), ("doctor", 3, 1, 2), ("dog", 3, 1, 1)}
+    assert sorted(map(tuple, lexical_index.postings(df, "light").collect())) == sorted(want)
+    assert sorted(map(tuple, lexical_index.postings(df, "english").collect())) == sorted(want)
+    plan = lexical_index.postings(df.where("rows = 1"), "light")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
