@@ -66,7 +66,7 @@ def overlap_score(question_terms: Column, passage_terms: Column) -> Column:
     """0.8 of the share of the question's terms found plus 0.2 of their density, capped, to six places."""
     q = F.array_distinct(question_terms)
     coverage = F.size(F.array_intersect(q, passage_terms)) / F.size(q)
-    hits = F.size(F.filter(passage_terms, lambda t: F.array_contains(q, t)))
+    hits = F.size(F.filter(passage_terms, lambda t: F.array_contains(question_terms, t)))  # q would be made anew for each term
     density = hits / F.sqrt(F.size(passage_terms))
     score = F.round(F.least(F.lit(1.0), 0.8 * coverage + 0.2 * F.least(F.lit(1.0), density / 3)), 6)
     return F.when((F.size(q) == 0) | (F.size(passage_terms) == 0), 0.0).otherwise(score)

@@ -13,7 +13,7 @@ from corpusloom.sources import parsers
 
 from . import domain as D
 from . import sqltext as S
-from .search_queries import FUSED_SQL, LEXICAL_SQL, RERANK_SQL, fused, hydrated, lexical, readable
+from .search_queries import FUSED_SQL, LEXICAL_SQL, RERANK_SQL, fused, hydrated, lexical, readable, with_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,7 +115,7 @@ WITH {LEXICAL_SQL}
 SELECT l.query_id, l.rank::INTEGER AS rank, l.chunk_id, left(c.text, 1200) AS snippet, round(score, 6) AS score FROM lexical l JOIN chunks c USING (chunk_id) WHERE l.rank <= 5
 """)
 def u1_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical(spark, sf_dir).where("rank <= 5").join(D.chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    hits = with_chunks(spark, sf_dir, lexical(spark, sf_dir).where("rank <= 5"), "text")
     return hits.select("query_id", "rank", "chunk_id", F.substring("text", 1, 1200).alias("snippet"), F.round("score", 6).alias("score"))
 
 
