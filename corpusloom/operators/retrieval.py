@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources import tables
 
 from . import term_blocks
 from .vectors import best, nearest
@@ -148,26 +151,43 @@ def low_relevance(n: Column, reranked_: Column, best_score: Column, best_vector:
     return F.when(n == 0, True).when(reranked_, best_score < least).when(best_vector.isNotNull(), best_vector < least_vector).otherwise(False)
 
 
+#: Rows whose vectors a task holds at once.
+HASHED = 2048
+
+
+def hashed(terms: pa.ListArray, size: int) -> pa.ListArray:
+    """Vectors of lists of terms. Terms and pairs are numbered, counted and weighed as arrays, and each distinct one is hashed once.
+    A vector adds its features up in the order in which they first occur, terms first."""
+    n_rows, words = len(terms), terms.flatten().dictionary_encode()
+    names, code = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n_rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+    next_ = np.flatnonzero(row[:-1] == row[1:])
+    pairs, of_pair = np.unique(code[next_] * len(names) + code[next_ + 1], return_inverse=True)
+    texts = [*names, *(f"{names[a]}_{names[b]}" for a, b in zip((pairs // max(1, len(names))).tolist(), (pairs % max(1, len(names))).tolist()))]
+    digests = np.frombuffer(b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in texts), np.uint8).reshape(-1, 8)
+    place, positive = digests[:, :4].copy().view("<u4")[:, 0].astype(np.int64) % size, digests[:, 4] & 1 == 1
+    key = np.concatenate([row, row[next_]]) * max(1, len(texts)) + np.concatenate([code, len(names) + of_pair])
+    key, first, n = np.unique(key, return_index=True, return_counts=True)
+    order = np.lexsort((first, key // max(1, len(texts))))
+    key, n = key[order], n[order]
+    own, feature = key // max(1, len(texts)), key % max(1, len(texts))
+    logs = np.array([0.0, *(1 + np.log(k) for k in range(1, int(n.max(initial=0)) + 1))])
+    weight = logs[n] * np.where(feature < len(names), 1.0, 0.5)
+    out = np.bincount(own * size + place[feature], np.where(positive[feature], weight, -weight), n_rows * size).reshape(n_rows, size)
+    norm = np.array([np.linalg.norm(v) for v in out])
+    out[norm == 0, 0], norm[norm == 0] = 1.0, 1.0
+    values = pa.array((out / norm[:, None]).astype(np.float32).reshape(-1))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1, dtype=np.int32) * size), values)
+
+
 def hashed_vectors(rows: DataFrame, text: str = "text", size: int = 384) -> DataFrame:
     """rows with `embedding`: signed hashed counts of terms and neighbouring pairs, of unit length."""
+    tables.bounded_batches(rows.sparkSession)
 
-    def one(terms: list[str]) -> np.ndarray:
-        counts: dict[str, int] = {}
-        for f in [*terms, *(f"{a}_{b}" for a, b in zip(terms, terms[1:]))]:
-            counts[f] = counts.get(f, 0) + 1
-        out = np.zeros(size)
-        for f, n in counts.items():
-            h = hashlib.blake2b(f.encode(), digest_size=8).digest()
-            weight = (1 + np.log(n)) * (0.5 if "_" in f else 1.0)
-            out[int.from_bytes(h[:4], "little") % size] += weight if h[4] & 1 else -weight
-        norm = np.linalg.norm(out)
-        if not norm:
-            out[0], norm = 1.0, 1.0
-        return out / norm
-
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for terms in batches:
-            yield pd.Series([one(list(t)) for t in terms], dtype=object)
+            parts = [hashed(terms.slice(a, HASHED), size) for a in range(0, len(terms), HASHED)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     return rows.withColumn("embedding", embed(T.content_terms(F.coalesce(F.col(text), F.lit("")))))

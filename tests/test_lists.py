@@ -1,8 +1,12 @@
+import hashlib
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import retrieval
 from corpusloom.plans import domain, search_queries
 
@@ -37,3 +41,30 @@ def test_overlap_makes_no_array_for_each_term(spark):
     assert [r.score for r in got.collect()] == [round(0.8 * 0.5 + 0.2 * (2 / 2 / 3), 6), 0.0, 0.0]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains(array_distinct" not in plan
+
+
+def test_hashed_vectors_add_features_in_order(spark, monkeypatch):
+    """Each distinct feature is hashed once; sums are those of a plain loop, to the last bit."""
+    texts = [None, "", "a", "no the of", "red red red fox", *(" ".join(f"w{k * k % 7}" for k in range(n)) for n in range(2, 40))]
+    monkeypatch.setattr(retrieval, "HASHED", 5)
+
+    def plain(terms, size=16):
+        counts, out = {}, np.zeros(size)
+        for f in [*terms, *map("_".join, zip(terms, terms[1:]))]:
+            counts[f] = counts.get(f, 0) + 1
+        for f, n in counts.items():
+            h = hashlib.blake2b(f.encode(), digest_size=8).digest()
+            weight = (1 + np.log(n)) * (0.5 if "_" in f else 1.0)
+            out[int.from_bytes(h[:4], "little") % size] += weight if h[4] & 1 else -weight
+        if not out.any():
+            out[0] = 1.0
+        return (out / np.linalg.norm(out)).astype(np.float32).tolist()
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("terms", T.content_terms(F.coalesce("text", F.lit(""))))
+    for r in retrieval.hashed_vectors(rows, size=16).collect():
+        assert r.embedding == plain(r.terms), r.text
+    calls = []
+    plain_hash = hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda b, **k: calls.append(b) or plain_hash(b, **k))
+    retrieval.hashed(pa.array([["a", "b"]] * 50), 16)
+    assert sorted(calls) == [b"a", b"a_b", b"b"]
