@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import ingest
-
 
 def registered(known: DataFrame, given: DataFrame) -> DataFrame:
     """Documents (external_id, metadata map) after an upload: a known external id keeps its row, and of its metadata
@@ -43,13 +41,18 @@ def staged(existing: DataFrame, drafts: DataFrame, model: str) -> DataFrame:
 
     existing: doc_id, ordinal, content_hash, model, embedding; drafts: doc_id, ordinal, content_hash, text. A chunk whose
     hash the document had under the same model takes over its embedding (`reused`); the others are `pending`."""
-    own = existing.where(F.col("model") == model)
-    matched = ingest.matched(own.select("doc_id", "content_hash", "ordinal"), drafts.select("doc_id", "content_hash", "ordinal"))
-    reused = matched.where("state = 'reused'").select("doc_id", "ordinal", "old_ordinal")
-    vectors = own.select("doc_id", F.col("ordinal").alias("old_ordinal"), "embedding")
-    have = reused.join(vectors, ["doc_id", "old_ordinal"]).select("doc_id", "ordinal", "embedding", F.lit("reused").alias("state"))
-    rows = drafts.join(have, ["doc_id", "ordinal"], "left")
-    return rows.select("doc_id", "ordinal", "content_hash", "text", "embedding", F.coalesce("state", F.lit("pending")).alias("state"))
+    text, embedding = F.lit(None).cast(drafts.schema["text"].dataType), F.lit(None).cast(existing.schema["embedding"].dataType)
+    own = existing.where((F.col("model") == model) & F.col("doc_id").isNotNull() & F.col("content_hash").isNotNull())
+    old = own.select("doc_id", "ordinal", "content_hash", text.alias("text"), "embedding", F.lit(True).alias("old"))
+    new = drafts.select("doc_id", "ordinal", "content_hash", "text", embedding.alias("embedding"), F.lit(False).alias("old"))
+    # one shuffle for both: the first old chunk of a hash comes before its drafts, of which the first takes over
+    hash_ = Window.partitionBy("doc_id", "content_hash").orderBy(F.desc("old"), "ordinal")
+    so_far = hash_.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.first(F.when(F.col("old"), F.struct("embedding"))).over(so_far)
+    met = old.unionByName(new).withColumns({"first": first, "drafts": F.sum(F.when(F.col("old"), 0).otherwise(1)).over(so_far)})
+    reused = F.col("first").isNotNull() & (F.col("drafts") == 1)
+    state = F.when(reused, "reused").otherwise("pending")
+    return met.where(~F.col("old")).select("doc_id", "ordinal", "content_hash", "text", F.when(reused, F.col("first.embedding")).alias("embedding"), state.alias("state"))
 
 
 def embedded(rows: DataFrame, embed: Column) -> DataFrame:

@@ -250,7 +250,7 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Existing chunks, and drafts whose pending chunks are embedded but in every tenth document."""
     existing, drafts = versions(spark, sf_dir)
-    rows = lifecycle.staged(existing, drafts, "m")
+    rows = tables.settled(lifecycle.staged(existing, drafts, "m"), "staged")  # read for what is pending, reused and ready
     return existing, lifecycle.embedded(rows, F.when(F.col("doc_id") % 10 != 0, F.array(F.length("text").cast("double"))))
 
 

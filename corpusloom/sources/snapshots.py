@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.sources import tables
+
 BUCKETS = 64
 
 
@@ -104,15 +106,16 @@ def replace(spark: SparkSession, path: str, documents: DataFrame, rows: DataFram
     version = versions(spark, path)[-1]
     base = manifest(spark, path, version)
     key, buckets = base["key"], base["buckets"]
-    wanted = documents.select(key).where(F.col(key).isNotNull()).distinct()
+    wanted = tables.settled(documents.select(key).where(F.col(key).isNotNull()).distinct(), "wanted")
+    named = tables.as_set(wanted)
     touched = {str(r.b) for r in wanted.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("b")).distinct().collect()}
-    new = rows.select(*StructType.fromJson(base["schema"]).names).join(wanted, key, "left_semi")
+    new = rows.select(*StructType.fromJson(base["schema"]).names).join(named, key, "left_semi")
     made: dict[str, tuple[str | None, str | None]] = {}  # by bucket the folder that was read and the one that was made of it
     for turn in range(tries):
         stale = {b for b in touched if b not in made or made[b][0] != base["folders"].get(b)}
         if stale:
             here = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string").isin(sorted(stale))
-            kept = of_folders(spark, path, base, stale).join(wanted, key, "left_anti")
+            kept = of_folders(spark, path, base, stale).join(named, key, "left_anti")
             fresh = written(kept.unionByName(new.where(here)), path, key, buckets)
             made |= {b: (base["folders"].get(b), fresh.get(b)) for b in stale}
         folders = {b: f for b, f in base["folders"].items() if b not in touched} | {b: f for b, (_, f) in made.items() if f}

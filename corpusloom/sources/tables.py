@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "file:///tmp/checkpoints"
 #: Keys whose facts are broadcast; with more, rows meet them under salted keys.
 FACTS, SALTS = 100_000, 32
+#: Numbers that are broadcast as a set, so that texts stay where they are; with more, both sides are shuffled.
+NUMBERS = 5_000_000
 #: Bytes of an Arrow batch, about.
 BATCH_BYTES = 2 << 20
 
@@ -45,6 +47,12 @@ def few(df: DataFrame, most: int = FACTS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def as_set(keys: DataFrame) -> DataFrame:
+    """keys (one column, cheap to read again) as the right side of a semi or anti join: broadcast if they are few, or up to NUMBERS longs."""
+    short = keys.schema[0].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.broadcast(keys) if keys.count() <= (NUMBERS if short else FACTS) else keys
+
+
 def matched(rows: DataFrame, facts: DataFrame, key: str, salt: Column) -> DataFrame:
     """rows joined with facts on key, null being a value. A key may hold any share of the rows: a few facts are broadcast, else each
     is copied to SALTS keys over which `salt` deals the rows. facts should be cheap to read again."""
