@@ -47,8 +47,8 @@ def outside(lines: DataFrame, found: DataFrame) -> DataFrame:
     return left.join(large, same & within, "left_anti").select(*lines.columns)
 
 
-def with_heights(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Lines and tables as items: `late`, and `at`, how far down the page an item's turn comes.
+def with_heights(lines: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Lines and tables as items: `late`, and `at`, how far down the page an item's turn comes. pages: doc_id, page of the lines.
 
     A line's turn is the largest y0 so far on its page; a table comes before the first line whose turn isn't above its
     upper side. Tables of pages without lines, and those below the last line of the last page with lines, come after all."""
@@ -59,7 +59,7 @@ def with_heights(lines: DataFrame, found: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     item_tables = found.select("doc_id", "page", none("long").alias("ordinal"), none("long").alias("block"), none("int").alias("level"), none("string").alias("text"), F.col("y0").cast("double").alias("y0"), "markdown")
     both = item_lines.unionByName(item_tables)
-    last = lines.groupBy(F.col("doc_id").alias("d_")).agg(F.max("page").alias("last_"))
+    last = pages.groupBy(F.col("doc_id").alias("d_")).agg(F.max("page").alias("last_"))
     turned = both.withColumn("at", F.when(line, F.max(F.when(line, F.col("y0"))).over(so_far)).otherwise(F.col("y0")))
     turned = turned.withColumn("at", F.coalesce("at", F.lit(float("-inf"))))
     turned = turned.withColumn("end_", F.max(F.when(line, F.col("at"))).over(page)).join(last, F.col("doc_id").eqNullSafe(F.col("d_")), "left")
@@ -77,8 +77,9 @@ def blocks(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     said = lines.where("trim(text) <> ''").withColumn("ordinal", F.col("ordinal").cast("long"))
     pages = said.select("doc_id", "page").unionByName(found.select("doc_id", "page"))
     kept = ingest.running_lines(outside(said, found).withColumn("y", F.col("y0")), bottom=F.col("y1"), pages=pages)
-    levelled = tables.settled(documents.heading_levels(kept).withColumns({"block": F.col("block").cast("long"), "level": F.col("level").cast("int")}), "lines")
-    items = with_heights(levelled, found)
+    # written before levels: these read the lines twice, and what finds them isn't to be done twice
+    kept = tables.settled(kept.select("doc_id", "page", "ordinal", F.col("block").cast("long").alias("block"), "size", "y0", "text"), "lines")
+    items = with_heights(documents.heading_levels(kept).withColumn("level", F.col("level").cast("int")), found, kept.select("doc_id", "page"))
     order = Window.partitionBy("doc_id", "page").orderBy("late", "at", F.col("markdown").isNull(), "ordinal", "markdown")
     kind = F.when(F.col("markdown").isNotNull(), "table").when(F.col("level") > 0, "heading").otherwise("text")
     marked = items.withColumn("kind", kind)

@@ -111,3 +111,14 @@ def test_normalized_columns(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "k long, t string")
     got = {r.k: r.n for r in df.select("k", parsers.normalized(F.col("t")).alias("n")).collect()}
     assert got.pop(-1) is None and [got[k] for k in range(len(texts))] == [parsers.normalize(t) for t in texts]
+
+
+def test_running_lines_are_found_once(spark, monkeypatch):
+    """What is outside tables and no running line is found and written once, before the levels of headings, which read lines twice."""
+    plans, plain = {}, layout.tables.settled
+    monkeypatch.setattr(layout.tables, "settled", lambda df, kind: plans.update({kind: df._jdf.queryExecution().optimizedPlan().toString()}) or plain(df, kind))
+    rows = [(1, k, k // 3 + 1, 0.0, 280.0 * (k % 3), 9.0, 280.0 * (k % 3) + 12, 842.0, k, 10.0, f"line {k}" if k % 3 else "head") for k in range(9)]
+    lines = spark.createDataFrame(rows, "doc_id long, ordinal int, page long, x0 double, y0 double, x1 double, y1 double, height double, block long, size double, text string")
+    boxes = spark.createDataFrame([], "doc_id long, page long, x0 double, y0 double, x1 double, y1 double, markdown string")
+    assert sorted(r.text for r in layout.blocks(lines, boxes).collect()) == sorted(f"line {k}" for k in range(9) if k % 3)
+    assert plans["lines"].count("Join LeftAnti") <= 5
