@@ -17,7 +17,7 @@ def token_count(text: Column, vocabulary: str | None) -> Column:
     the estimate of T.simple_token_count. A null text has none."""
     plain = F.coalesce(text, F.lit(""))
     if not vocabulary or not os.path.isfile(vocabulary):
-        return T.simple_token_count(plain)
+        return F.coalesce(T.simple_token_count(plain), F.lit(0))
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -17,3 +17,13 @@ def test_java_and_sql_edges(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got, want = both(spark, str(tmp_path), queries()[name], oracle_sql()[name])
     assert got == want
+
+
+def test_a_token_count_takes_every_sign_as_sql(spark, tmp_path):
+    """Alone, behind a letter and before one: each sign that there is; and texts without words or signs."""
+    signs = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["\n".join(f"{s} abcdef{s} {s}abcdef" for s in signs[k : k + 8]) for k in range(0, len(signs), 8)]
+    texts += ["", "   ", "\x0b", None, "a½ ²", "éte ́", "‍_‿Ⓐ"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = both(spark, str(tmp_path), queries()["t8_simple_token_count"], oracle_sql()["t8_simple_token_count"])
+    assert got == want
