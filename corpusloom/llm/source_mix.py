@@ -73,7 +73,8 @@ def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST)
     """source, rank (by code points, null last), source_size, target and shards of each source of the entries."""
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     ranked = with_sums_before(sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, "sources")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    # long, as a weight times the words of all sources passes 2 ** 31
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
     cap, named = F.col("source_size") * most, ranked.withColumn("weight", weight)
     level = named.withColumn("level", cap / F.col("weight"))
     filled = settled(with_sums_before(level, [F.col("level"), F.col("rank")], {"stopped": cap, "weight_before": F.col("weight")}, "levels"), "levels")

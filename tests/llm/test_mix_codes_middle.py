@@ -82,6 +82,15 @@ def test_mix_of_nothing(spark):
     assert checked_mix(spark, [(1, "only one here", "a")])[2] == {"a": 3}
 
 
+def test_targets_of_many_words(spark):
+    """A weight times the words of all sources passes 2 ** 31 here, the words themselves don't; and they do in the second case."""
+    for sizes in ({"a": 700_000_000, "b": 300_000_000, "c": 20_000_000, None: 5}, {"a": 7_000_000_000, "b": 3_000_000_000, None: 5}):
+        rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, copies long")
+        got = {r.source: r for r in source_mix.targets(rows).collect()}
+        assert {s: r.source_size for s, r in got.items()} == sizes
+        assert {s: r.target for s, r in got.items()} == pytest.approx(plain_targets(sizes))
+
+
 def test_highest_quotients(spark, monkeypatch):
     """Equal to the sorted list of all quotients, with many ties, however few seats are ranked one by one."""
     rng = random.Random(7)
