@@ -310,6 +310,37 @@ def test_search_skips_postings():
     assert shard.scored < 0.25 * shard.listed
 
 
+def test_a_group_of_queries_equals_each_scored_alone():
+    """Two languages and queries of both in one group, with and without thresholds; ties at the threshold stay. Few postings are scored."""
+    draw = np.random.default_rng(8)
+    n, texts = 3000, []
+    for k in range(n):
+        texts.append(np.where(k % 2, 1000, 0) + draw.zipf(1.2, draw.integers(1, 90)) % 900)
+    texts[7], texts[9] = texts[5], texts[5]
+    doc, term, times = topk_search.bags(np.concatenate(texts).astype(np.uint64), np.array([len(x) for x in texts]))
+    new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    lengths, sizes, mean = np.array([len(x) for x in texts]), np.diff(np.append(new, len(term))), 45.0
+    columns = {"ids": (np.arange(n), "<i8"), "lengths": (lengths, "<i4"), "terms": (term[new], "<u8"), "sizes": (sizes, "<i4"), "docs": (doc, "<i4"), "times": (times, "<i4")}
+    shard = topk_search.Shard({k: v.astype(t).tobytes() for k, (v, t) in columns.items()}, mean)
+    impact = np.zeros((len(sizes), n))
+    impact[np.repeat(np.arange(len(sizes)), sizes), doc] = times * 2.2 / (times + 1.2 * (0.25 + 0.75 * lengths[doc] / mean))
+    asked = [np.unique(np.searchsorted(term[new], texts[q].astype(np.uint64))) for q in [5, *range(40, 400, 9)]]
+    weights = [np.log(1 + (n - sizes[a] + 0.5) / (sizes[a] + 0.5)) for a in asked]
+    cut = np.append(0, np.cumsum([len(a) for a in asked]))
+    full = [np.round(w @ impact[a], 6) for a, w in zip(asked, weights)]
+    want = [np.lexsort((np.arange(n), -s))[:10] for s in full]
+    want = [x[s[x] > 0] for x, s in zip(want, full)]
+    for least in ([0.0] * len(asked), [float(s[x[2]]) if i % 3 else 0.0 for i, (s, x) in enumerate(zip(full, want))]):
+        shard.listed = shard.scored = 0
+        got = shard.search_group(cut, np.concatenate(asked), np.concatenate(weights), 10, least)
+        for (ids, scores), s, x, low in zip(got, full, want, least):
+            assert ids.tolist() == x[s[x] >= low].tolist() and np.abs(scores - s[ids]).max() <= 2e-6
+        assert shard.scored < 0.6 * shard.listed
+    assert {5, 7, 9} <= set(got[0][0].tolist())
+    code = shard.likeness(np.concatenate(asked), cut[:-1])
+    assert len(code) == len(asked) and len(set(code.tolist())) > 1
+
+
 @pytest.mark.parametrize("most", [2_000_000, 300])
 def test_pruned_search_equals_scoring_all(spark, monkeypatch, most):
     """Also with queries in several blocks."""
